@@ -1,3 +1,50 @@
-STAGES = []
+"""The training-data pipeline: quality, near-duplicates, leaked tests, mix, token shards."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import cotrain, decontaminate, golay_simhash, soft_mixing, sstable
+from lectern.llm.common import cut, table
+from lectern.llm.queries import MIX_TARGETS, vocabulary
+
+
+def reject_bad(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cotrain.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return golay_simhash.drop_near_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return soft_mixing.apply_mix(docs, table(spark, sf_dir, "labels").select("doc_id"), MIX_TARGETS)
+
+
+def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = sstable.round_trip(docs, vocabulary())
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality classifier", reject_bad),
+    ("SimHash near-dedup", one_of_each_group),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_to_targets),
+    ("token-ID output", write_token_shards),
+]
+
+#: SQL can't express the classifier, the fingerprint of whole texts, or the tokenizer.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)
