@@ -9,12 +9,19 @@ from .common import table
 from .content_sort import content_sort
 from .cotrain import score_documents
 from .decontaminate import find_leaks
+from .fuzzy_lines import dropped_lines
 from .golay_simhash import near_groups
+from .secret_forest import scan, train
 from .soft_mixing import mix
 from .sstable import round_trip
+from .trie_counts import count_tokens
 from .url_tree import judge_urls
 
 
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"), train(spark)).withColumnRenamed("id", "doc_id")
+
+
 def op2_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "leak.n_words", "leak.n_hit", "leak.n_items", "leak.items_sha256", "leak.contaminated")
@@ -38,11 +45,19 @@ def op8_url_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
+def op3_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op4_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dropped_lines(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 #: Shares of tokens by language.
 MIX_TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
 
@@ -64,13 +79,16 @@ def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secret_forest": op1_secret_forest,
+    "op2_aho_corasick": op2_aho_corasick,
+    "op3_trie_counts": op3_trie_counts,
     "op4_cotraining": op4_cotraining,
+    "op5_fuzzy_lines": op5_fuzzy_lines,
     "op6_soft_mixing": op6_soft_mixing,
-    "op8_url_tree": op8_url_tree,
-    "op10_sstable": op10_sstable,
-    "op2_aho_corasick": op2_aho_corasick,
     "op7_golay_simhash": op7_golay_simhash,
+    "op8_url_tree": op8_url_tree,
     "op9_content_sort": op9_content_sort,
+    "op10_sstable": op10_sstable,
 }
 
 ORACLE = {
