@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-PAGE = W.partitionBy("book_id", "page").orderBy("line_no")
+
+def in_page():
+    """Window over a page's lines in order. Windows are made by functions, as they need a session."""
+    return W.partitionBy("book_id", "page").orderBy("line_no")
 
 
 def typical_leading(lines: DataFrame, default: float = 14.0) -> DataFrame:
     """``book_id, leading``: median distance of neighbouring baselines of one size on a page."""
-    step = F.lead("base").over(PAGE) - F.col("base")
-    pairs = lines.select("book_id", "size", step.alias("dy"), F.lead("size").over(PAGE).alias("next_size"))
+    step = F.lead("base").over(in_page()) - F.col("base")
+    pairs = lines.select("book_id", "size", step.alias("dy"), F.lead("size").over(in_page()).alias("next_size"))
     usable = (F.col("dy") > 0) & (F.col("dy") < 2.5 * F.col("size")) & (F.abs(F.col("size") - F.col("next_size")) < 0.5)
     return pairs.groupBy("book_id").agg(F.coalesce(F.median(F.when(usable, F.col("dy"))), F.lit(default)).alias("leading"))
 
@@ -70,7 +73,7 @@ def is_short(share: float = 0.12, line: str = "") -> Column:
 
 def indent_style(annotated: DataFrame, leading: DataFrame, least_starts: int = 5, share: float = 0.6) -> DataFrame:
     """``book_id, starts, indented, indent_style``: whether paragraphs begin with an indent, judged after lines that end one."""
-    nxt = F.lead(F.struct("x0", "left", "size", "base")).over(PAGE).alias("next")
+    nxt = F.lead(F.struct("x0", "left", "size", "base")).over(in_page()).alias("next")
     pairs = annotated.join(leading, "book_id").select("*", nxt)
     dy = F.col("next.base") - F.col("base")
     start = T.ends_sentence(F.col("text")) & is_short(0.3) & (dy > 0) & (dy <= 1.45 * F.col("leading"))

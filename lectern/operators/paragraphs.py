@@ -10,8 +10,13 @@ from ..functions import patterns as P
 from ..functions import text as T
 from . import layout
 
-BOOK = W.partitionBy("book_id").orderBy("page", "line_no")
-PARAS = W.partitionBy("book_id").orderBy("para_no")
+
+def in_book():
+    return W.partitionBy("book_id").orderBy("page", "line_no")
+
+
+def by_para():
+    return W.partitionBy("book_id").orderBy("para_no")
 
 
 def starts_paragraph() -> Column:
@@ -42,9 +47,9 @@ def number_paragraphs(lines: DataFrame) -> DataFrame:
     leading = layout.typical_leading(lines)
     style = layout.indent_style(annotated, leading).select("book_id", "indent_style")
     known = annotated.join(leading, "book_id").join(style, "book_id")
-    prev = F.lag(F.struct("text", "x1", "left", "right", "size", "base", "block", "page")).over(BOOK)
+    prev = F.lag(F.struct("text", "x1", "left", "right", "size", "base", "block", "page")).over(in_book())
     starts = known.withColumn("prev", prev).withColumn("starts", starts_paragraph())
-    numbered = starts.withColumn("para_no", F.sum(F.col("starts").cast("int")).over(BOOK.rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    numbered = starts.withColumn("para_no", F.sum(F.col("starts").cast("int")).over(in_book().rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     return numbered.select(*lines.columns, "para_no")
 
 
@@ -69,12 +74,12 @@ def merge_drop_caps(paras: DataFrame) -> DataFrame:
     In a run of such letters, what has just received a letter isn't a single letter any more; so the first, third and so on
     of each run are merged into the one after them.
     """
-    able = F.coalesce(F.col("text").rlike(r"^\p{L}$") & T.starts_lower(F.lead("text").over(PARAS)), F.lit(False))
+    able = F.coalesce(F.col("text").rlike(r"^\p{L}$") & T.starts_lower(F.lead("text").over(by_para())), F.lit(False))
     marked = paras.withColumn("able", able)
-    last_not = F.max(F.when(~F.col("able"), F.col("at"))).over(PARAS.rowsBetween(W.unboundedPreceding, 0))
-    placed = marked.withColumn("at", F.row_number().over(PARAS)).withColumn("run", F.col("at") - F.coalesce(last_not, F.lit(0)))
+    last_not = F.max(F.when(~F.col("able"), F.col("at"))).over(by_para().rowsBetween(W.unboundedPreceding, 0))
+    placed = marked.withColumn("at", F.row_number().over(by_para())).withColumn("run", F.col("at") - F.coalesce(last_not, F.lit(0)))
     gives = placed.withColumn("gives", F.col("able") & (F.col("run") % 2 == 1))
-    cap = F.lag(F.when(F.col("gives"), F.struct("text", "page"))).over(PARAS)
+    cap = F.lag(F.when(F.col("gives"), F.struct("text", "page"))).over(by_para())
     merged = gives.withColumn("cap", cap)
     return merged.where("not gives").select(
         "book_id", "para_no", F.coalesce("cap.page", "page").alias("page"), F.when(F.col("cap").isNull(), F.col("text")).otherwise(F.concat("cap.text", "text")).alias("text"), "is_break")

@@ -13,12 +13,18 @@ from ..functions import patterns as P
 from ..functions import text as T
 from . import chunks
 
-PARAS = W.partitionBy("book_id").orderBy("para_no")
-SO_FAR = PARAS.rowsBetween(W.unboundedPreceding, 0)
 FRONT = "Front matter"
 COLUMNS = ["book_id", "section_no", "title", "para_no", "text", "is_break"]
 
 
+def by_para():
+    return W.partitionBy("book_id").orderBy("para_no")
+
+
+def so_far():
+    return by_para().rowsBetween(W.unboundedPreceding, 0)
+
+
 def para_words() -> Column:
     """Words of a paragraph; a break counts as one."""
     return F.when(F.col("is_break"), F.lit(1)).otherwise(T.word_count(F.col("text"))).cast("long")
@@ -68,11 +74,11 @@ def heading_candidates(paras: DataFrame) -> DataFrame:
     Only a bare chapter heading consumes, and a chapter heading is never consumed, so the row before decides.
     """
     text = F.col("text")
-    before = F.lag("text").over(PARAS)
+    before = F.lag("text").over(by_para())
     subtitle = ~F.col("is_break") & (text != "") & (F.length(text) <= 70) & ~T.ends_sentence(text) & ~text.rlike(P.CHAPTER)
     consumed = F.coalesce(_is_bare(before) & subtitle, F.lit(False))
     marked = paras.withColumn("consumed", consumed).withColumn("candidate", ~F.col("consumed") & F.coalesce(~F.col("is_break") & _is_heading(text), F.lit(False)))
-    after = F.lead(F.struct("consumed", "text")).over(PARAS)
+    after = F.lead(F.struct("consumed", "text")).over(by_para())
     heading = F.when(F.col("candidate"), F.when(F.coalesce(after["consumed"], F.lit(False)), T.heading_title(text, after["text"])).otherwise(text))
     return marked.withColumn("heading", heading).withColumn("words", para_words())
 
@@ -84,15 +90,15 @@ def sections_from_headings(paras: DataFrame, min_words: int = 80) -> DataFrame:
     """
     marked = heading_candidates(paras)
     body = F.when(~F.col("candidate") & ~F.col("consumed"), F.col("words")).otherwise(0)
-    spans = marked.withColumn("span", F.sum(F.col("candidate").cast("int")).over(SO_FAR))
+    spans = marked.withColumn("span", F.sum(F.col("candidate").cast("int")).over(so_far()))
     own = W.partitionBy("book_id", "span")
     kept = spans.withColumn("kept", F.col("candidate") & (F.sum(body).over(own) >= min_words))
     placed = (
-        kept.withColumn("section_no", F.sum(F.col("kept").cast("int")).over(SO_FAR).cast("int"))
-        .withColumn("title", F.coalesce(F.last(F.when(F.col("kept"), F.col("heading")), ignorenulls=True).over(SO_FAR), F.lit(FRONT)))
+        kept.withColumn("section_no", F.sum(F.col("kept").cast("int")).over(so_far()).cast("int"))
+        .withColumn("title", F.coalesce(F.last(F.when(F.col("kept"), F.col("heading")), ignorenulls=True).over(so_far()), F.lit(FRONT)))
         .withColumn("found", F.sum(F.col("kept").cast("int")).over(W.partitionBy("book_id")))
     )
-    of_heading = F.col("kept") | (F.col("consumed") & F.coalesce(F.lag("kept").over(PARAS), F.lit(False)))
+    of_heading = F.col("kept") | (F.col("consumed") & F.coalesce(F.lag("kept").over(by_para()), F.lit(False)))
     return placed.withColumn("of_heading", of_heading).where("found >= 2 and not of_heading").select(*COLUMNS)
 
 
