@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPACE = 1 << 20  # hashed features of the content view
 META = 256  # hashed categories of the metadata view; binned numbers follow
 BINS = 12
 _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -25,7 +24,7 @@ _END = b".,;:'\"()-"
 
 
 def _hash(s: str) -> int:
-    return zlib.crc32(s.encode("utf-8", "surrogatepass")) % SPACE
+    return zlib.crc32(s.encode("utf-8", "surrogatepass"))  # of 32 bits, so few of the chosen ones are hit by chance
 
 
 def word_features(word: str) -> list[int]:
@@ -129,15 +128,31 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
-def choose_features(rows: list[list[int]], y: np.ndarray, most: int, least_docs: int) -> np.ndarray:
-    """The ``most`` content features with the largest chi-square against ``y``, of those in ``least_docs`` rows or more."""
-    x = Sparse(rows, SPACE)
-    df, pos, n = x.t_dot(np.ones(x.n)), x.t_dot(y), x.n
-    rate = y.mean()
+def choose_features(rows: list[np.ndarray], y: np.ndarray, most: int, least_docs: int, least_chi: float) -> np.ndarray:
+    """The ``most`` content features with the largest chi-square against ``y``, sorted by id, of those in ``least_docs`` rows
+    or more. ``least_chi`` is high, as among so many features some look good by chance; and what is far weaker than the best
+    is left out, as long texts gather weak features."""
+    n, rate = len(rows), y.mean()
+    ids, df = np.unique(np.concatenate(rows), return_counts=True)
+    usable = (df >= least_docs) & (df <= 0.9 * n)
+    ids, df = ids[usable], df[usable]
+    own, counts = np.unique(np.concatenate([r for r, bad in zip(rows, y) if bad]), return_counts=True)
+    if not len(own) or not len(ids):
+        return ids[:0]
+    at = np.minimum(np.searchsorted(own, ids), len(own) - 1)
+    pos = np.where(own[at] == ids, counts[at], 0)
     expected = df * rate
-    chi = np.where((df >= least_docs) & (df <= 0.9 * n), (pos - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - df / n), 1e-9), 0)
+    chi = (pos - expected) ** 2 / np.maximum(expected * (1 - rate) * (1 - df / n), 1e-9)
     top = np.argsort(-chi, kind="stable")[:most]
-    return top[chi[top] > 3.84]
+    return np.sort(ids[top[chi[top] > max(least_chi, 0.03 * chi.max())]])
+
+
+def _places(ids: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Where the ids that were chosen stand among the chosen."""
+    if not len(chosen):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(chosen, ids), len(chosen) - 1)
+    return at[chosen[at] == ids]
 
 
 def cotrain_target(content: tuple[Sparse, Sparse, Sparse], meta: tuple[Sparse, Sparse, Sparse], y: np.ndarray, y_kept: np.ndarray, rounds: int, sure: float, per_round: int) -> dict:
@@ -158,7 +173,7 @@ def cotrain_target(content: tuple[Sparse, Sparse, Sparse], meta: tuple[Sparse, S
             both.n, both.lens = train.n + len(own), np.concatenate([train.lens, pool.lens[own]])
             target = np.concatenate([y, [extra[v][i] for i in own]])
             weight = np.concatenate([np.ones(train.n), np.full(len(own), 0.5)])
-            w, b = fit_logistic(both, target, weight)
+            w, b = fit_logistic(both, target, weight, (0.3, 1.0)[v])
             platt = fit_dense((kept.dot(w) + b)[:, None], y_kept, 0.01)
             fitted.append((w, b, platt))
         model = {"views": fitted}
@@ -202,7 +217,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         for batch in batches:
             out = [own(*(c[i].as_py() for c in batch.columns[1:])) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.array(o[0], np.int32).tobytes() for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
+                [batch.column(0), pa.array([np.array(o[0], np.uint32).tobytes() for o in out], pa.binary()), pa.array([o[1] for o in out], pa.list_(pa.int32())), pa.array([o[2] for o in out], pa.list_(pa.float64()))],
                 ["id", "content", "tags", "numbers"])
 
     kind = dict(rows.dtypes)["__id"]
@@ -210,14 +225,14 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     labelled, pool = [], []
     for r in got.toLocalIterator():
         q, t = picked[r.id]
-        row = (r.id, np.frombuffer(bytes(r.content), np.int32), r.tags, r.numbers)
+        row = (r.id, np.frombuffer(bytes(r.content), np.uint32), r.tags, r.numbers)
         (pool if q is None or t is None else labelled).append((*row, q, t))
     labelled.sort(key=lambda r: r[0])
     pool.sort(key=lambda r: r[0])
     return labelled, pool
 
 
-def fit(labelled: list, pool: list, rounds: int = 3, sure: float = 0.98, per_round: int = 400, most_features: int = 4000, least_docs: int = 4) -> dict:
+def fit(labelled: list, pool: list, rounds: int = 3, sure: float = 0.98, per_round: int = 400, most_features: int = 4000, least_docs: int = 4, least_chi: float = 25.0) -> dict:
     """A model of both targets from the rows of :func:`sample_features`."""
     model: dict = {"edges": None, "targets": {}}
     if len(labelled) < 8:
@@ -232,10 +247,8 @@ def fit(labelled: list, pool: list, rounds: int = 3, sure: float = 0.98, per_rou
         if not 0 < y.mean() < 1:
             model["targets"][name] = {"rate": float(y.mean())}
             continue
-        chosen = choose_features([r[1] for r in train], y, most_features, least_docs)
-        number = np.full(SPACE, -1, np.int64)
-        number[chosen] = np.arange(len(chosen))
-        content = [Sparse([(k := number[r[1]])[k >= 0] for r in part], len(chosen) + 1) for part in (train, kept, pool)]
+        chosen = choose_features([r[1] for r in train], y, most_features, least_docs, least_chi)
+        content = [Sparse([_places(r[1], chosen) for r in part], len(chosen) + 1) for part in (train, kept, pool)]
         model["targets"][name] = {"chosen": chosen} | cotrain_target(tuple(content), tuple(meta), y, y_kept, rounds, sure, per_round)
     return model
 
