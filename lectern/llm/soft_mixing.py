@@ -63,11 +63,10 @@ def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(_words(text)).alias("at", "w"))
     bucket = rows.select("id", "h", "at", (F.col("w") != "").cast("int").alias("real"), _bucket(F.col("w")).alias("k"))
-    # a constant of 4,096 numbers for each domain; parsed once, when the plan is optimised
-    weight = [F.from_json(F.lit(json.dumps(w)), "array<double>") for w in weights]
-    value = lambda k: F.when(F.col("real") == 1, F.element_at(weight[k], F.col("k") + 1)).otherwise(0.0)
-    # sums of doubles depend on their order; whole millionths don't
-    sums = [F.sum(F.round(value(k) * 1e6).cast("long")).alias(f"l{k}") for k in range(len(domains))]
+    # A constant of 4,096 numbers for each domain, parsed once, when the plan is optimised. Sums of doubles depend on their
+    # order; those of whole millionths don't.
+    weight = [F.from_json(F.lit(json.dumps([round(x * 1e6) for x in w])), "array<bigint>") for w in weights]
+    sums = [F.sum(F.when(F.col("real") == 1, F.get(weight[k], F.col("k"))).otherwise(0)).alias(f"l{k}") for k in range(len(domains))]
     totals = bucket.groupBy("id", "h").agg(F.count_if(F.col("at") == 0).alias("copies"), F.sum("real").alias("tokens"), *sums)
     per_copy = F.greatest(F.lit(1), F.col("tokens") / F.col("copies"))
     logit = [F.col(f"l{k}") / 1e6 / F.col("copies") / F.pow(per_copy, F.lit(temper)) + priors[k] for k in range(len(domains))]
