@@ -70,8 +70,9 @@ def _sweep() -> None:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z only; null counts as the empty text."""
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    """Lower-case A-Z only; null counts as the empty text. A text of ASCII alone takes the way that is faster."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
