@@ -1,7 +1,8 @@
 """Exact dedup by content sort (DataFrame functions only).
 
-Normalised texts are range-partitioned on their bytes by sampled splitters and sorted externally, so that equal texts lie
-next to each other; neighbours are compared in full and each run of equals keeps one row.
+Normalised texts are range-partitioned by sampled splitters, on their first bytes and then a hash, and sorted externally
+down to the whole text, so that equal texts lie next to each other; neighbours are compared in full and each run of equals
+keeps one row.
 """
 
 from __future__ import annotations
@@ -40,10 +41,12 @@ def content_sort(
     floor = max(hot_rows, int(total * hot_share))
     hot = [r.h for r in counts.where(F.col("n") >= floor).select("h").collect()]
     is_hot = F.xxhash64("norm").isin(hot) if hot else F.lit(False)
-    dealt = rows.withColumn("salt", F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(F.lit(0)))
-    # the window needs rows clustered by (norm, salt) and sorted by them: the range partitions are that already
-    run = W.partitionBy("norm", "salt")
-    found = dealt.repartitionByRange("norm", "salt").select(
+    salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(F.lit(0))
+    # The sampled keys go to the driver, so they are short: the first bytes, and a hash that parts texts which share them.
+    dealt = rows.withColumns({"head": F.substring(F.col("norm").cast("binary"), 1, 24), "h": F.xxhash64("norm"), "salt": salt})
+    # The window needs rows clustered and sorted by its columns: range partitions of some of them are clustered already.
+    run = W.partitionBy("head", "h", "salt", "norm")
+    found = dealt.repartitionByRange("head", "h", "salt").select(
         "id", "norm", "salt", best("id").over(run).alias("keep_id"), F.count("*").over(run).alias("group_size")
     ).select("id", "keep_id", "group_size", "salt", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
     if hot:
