@@ -14,14 +14,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop_cut
+from .common import cut, drop_cut
 
 BUCKETS = 4096
 
 
 def _words(text: Column) -> Column:
-    """Words between spaces; other ASCII white space counts as a space. May hold empty strings."""
-    return F.split(F.translate(ascii_lower(text), "\t\n\v\f\r", "     "), " ")
+    """Lower-case words between spaces; other ASCII white space counts as a space. May hold empty strings."""
+    return F.split(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\v\f\r", F.lower(F.coalesce(text, F.lit("")))), " ")
 
 
 def _bucket(word: Column) -> Column:
@@ -83,7 +83,8 @@ def fit_rates(members: DataFrame, shares: list[float], lower: float, tolerance:
     Each step is one aggregate of K sums over all rows. The gradient is taken in the metric that weighs a row by its
     tokens, in which the step size is one over the largest eigenvalue of the K by K matrix of posteriors; the projection
     is ``greatest(lower, rate)``. The total is the least one that needs no domain to shrink: targets are shares of it.
-    Every ``keep_every`` steps the rates are written to the shared folder.
+    It ends when targets are met to ``tolerance``, or when steps no longer change the totals: bounded rates may not reach
+    every target. Every ``keep_every`` steps the rates are written to the shared folder.
     """
     k = len(shares)
     p = [F.col(f"p{i}") for i in range(k)]
@@ -107,13 +108,14 @@ def fit_rates(members: DataFrame, shares: list[float], lower: float, tolerance:
         top = max(map(abs, new)) or 1.0
         vector = [x / top for x in new]
     step = 1 / top
-    state, rate, kept = members, F.lit(max(lower, total / everything)), None
-    state = state.withColumn("rate", rate)
+    state, kept, before = members.withColumn("rate", F.lit(max(lower, total / everything))), None, None
     for turn in range(max_steps):
         now = [float(x or 0) for x in state.agg(*(F.sum(F.col("rate") * F.col("tokens") * x) for x in p)).first()]
         error = [(n - t) / everything for n, t in zip(now, target)]
-        if max(map(abs, error)) * everything < tolerance * total:
+        settled = before is not None and max(abs(a - b) for a, b in zip(error, before)) < tolerance / 20
+        if settled or max(map(abs, error)) * everything < tolerance * total:
             break
+        before = error
         change = reduce(lambda a, b: a + b, (x * (step * e) for x, e in zip(p, error)))
         state = state.withColumn("rate", F.greatest(F.lit(lower), F.col("rate") - change))
         if turn % keep_every == keep_every - 1:
