@@ -2,7 +2,8 @@
 
 Longest-matching rules decide first. For the rest, each host's paths form a tree: variable segments become wildcards,
 sibling branches with statistically similar labels are merged, and a template is rejected when the smoothed share of bad
-labels among its pages is high enough.
+labels among its pages is high enough. A template without labels borrows those of its nearest parent or of other hosts'
+like paths; without such evidence nothing is rejected.
 """
 
 from __future__ import annotations
@@ -78,15 +79,39 @@ def template_tree(paths: DataFrame, max_children: int = 50, min_labels: int = 20
     return tree.drop("segs", "raw")
 
 
+def borrowed_evidence(tree: DataFrame, least: int = 20, depth: int = 8) -> DataFrame:
+    """``host, raw_key, evidence, l, b`` for rows of :func:`template_tree` whose (host, template) has no label.
+
+    From the longest prefix of the path down to its first segment, labels come from the host's own templates below that
+    prefix (``parent``), else from all hosts' paths below it (``hosts``), where there are ``least`` or more. A whole host's
+    labels are not evidence for a section that has none, nor are those of all pages.
+    """
+    def prefixes(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth + 1))), lambda d: F.struct(d.alias("d"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("at")))
+
+    parts = {"own": F.split(F.substring("template", 2, 1 << 30), "/"), "raw": F.split("raw_key", "/")}
+    known, asked = tree.where("labelled > 0 and raw_key <> ''"), tree.join(
+        tree.groupBy("host", "template").agg(F.sum("labelled").alias("have")).where("have = 0").drop("have"), ["host", "template"], "left_semi").where("raw_key <> ''")
+    found = []
+    for rank, (name, what, keys) in enumerate((("raw", "hosts", ["at"]), ("own", "parent", ["host", "at"]))):
+        sums = known.select("host", "labelled", "bad", F.explode(prefixes(parts[name])).alias("p")).select("host", "p.at", "labelled", "bad")
+        sums = sums.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).where(F.col("l") >= least)
+        want = asked.select("host", "raw_key", F.explode(prefixes(parts[name])).alias("p")).select("host", "raw_key", "p.d", "p.at")
+        found.append(want.join(sums, keys).select("host", "raw_key", F.struct("d", F.lit(rank).alias("rank"), F.lit(what).alias("evidence"), "l", "b").alias("e")))
+    return found[0].union(found[1]).groupBy("host", "raw_key").agg(F.max("e").alias("e")).select("host", "raw_key", "e.evidence", "e.l", "e.b")
+
+
 def judge_urls(
     pages: DataFrame, rules: list[tuple[str, str, str]], labels: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url",
     threshold: float = 0.7, smoothing: float = 10.0, **tree_options,
 ) -> DataFrame:
-    """One row per page: ``id, host, path, rule, verdict, template, purity``.
+    """One row per page: ``id, host, path, rule, verdict, template, purity, evidence``.
 
     ``labels(id, bad boolean)`` names good and bad pages; if it isn't given, the rules' own verdicts are the labels.
     ``purity`` is (bad + smoothing * rate) / (labelled + smoothing) of the page's template on its host, ``rate`` being that
-    of all labels; a page without a rule is blocked from ``threshold`` up. Null ids and urls are judged like others; a null
+    of all labels. A template without labels takes the bad and labelled of :func:`borrowed_evidence`; ``evidence`` says
+    ``own``, ``parent`` or ``hosts``, and is null where there is none: ``purity`` is ``rate`` then, which blocks nothing. A
+    page with evidence but without a rule is blocked from ``threshold`` up. Null ids and urls are judged like others; a null
     or odd url has an empty host and path, whose template is empty. Without any label nothing is blocked by the tree.
     Repeated rows stay. Other columns are not read.
     """
@@ -104,8 +129,10 @@ def judge_urls(
     tree = template_tree(leaf, **tree_options)
     totals = leaf.agg(F.sum("labelled"), F.sum("bad")).first()
     rate = (totals[1] or 0) / (totals[0] or 1)
-    scored = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")).select(
-        "host", "template", ((F.col("bad") + smoothing * rate) / (F.col("labelled") + smoothing)).alias("purity"))
-    known = tree.select("host", "raw_key", "template").join(scored, ["host", "template"])
-    final = F.coalesce("ruled", F.when(F.col("purity") >= threshold, "block").otherwise("allow"))
-    return base.join(known, ["host", "raw_key"], "left").select("id", "host", "path", "rule", final.alias("verdict"), "template", "purity")
+    own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    borrowed = borrowed_evidence(tree, depth=tree_options.get("depth", 8))
+    both = tree.select("host", "raw_key", "template").join(own, ["host", "template"]).join(borrowed, ["host", "raw_key"], "left")
+    labelled, bad = F.col("labelled") + F.coalesce("l", F.lit(0)), F.col("bad") + F.coalesce("b", F.lit(0))
+    known = both.select("host", "raw_key", "template", ((bad + smoothing * rate) / (labelled + smoothing)).alias("purity"), F.when(F.col("labelled") > 0, "own").otherwise(F.col("evidence")).alias("evidence"))
+    final = F.coalesce("ruled", F.when(F.col("evidence").isNotNull() & (F.col("purity") >= threshold), "block").otherwise("allow"))
+    return base.join(known, ["host", "raw_key"], "left").select("id", "host", "path", "rule", final.alias("verdict"), "template", "purity", "evidence")

@@ -68,6 +68,19 @@ def test_template_tree(spark):
         assert x.purity == pytest.approx((sum(b for _, b in mine) + 10 * rate) / (len(mine) + 10))
 
 
+def test_unruled_pages_need_evidence(spark):
+    """The rate of all labels is 0.9: it blocks nothing by itself."""
+    urls = [f"http://a.com/en/{i}" for i in range(90)] + [f"http://a.com/de/{i}" for i in range(100, 110)] + [f"http://c.net/it/{i}" for i in range(30)]
+    marks = [(i, i < 90) for i in range(100)] + [(i, i < 102) for i in range(100, 130)]
+    more = ["http://b.org/en/5", "http://b.org/fr/5", "http://a.com/fr/5", "http://b.org/it/5", "http://a.com/en/page", "http://b.org/de/5", None, "http://b.org", "http://b.org/en/x/y"]
+    rows = list(enumerate(urls + more))
+    got = {r.id: r for r in url_tree.judge_urls(pages(spark, rows), [], spark.createDataFrame(marks, "id long, bad boolean")).collect()}
+    new = [(got[i].evidence, got[i].verdict) for i in range(len(urls), len(rows))]
+    none = (None, "allow")
+    assert new == [("hosts", "block"), none, none, ("hosts", "allow"), ("parent", "block"), none, none, none, ("hosts", "block")]
+    assert {got[i].evidence for i in range(130)} == {"own"}
+
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long, s string, __x int"
 
 
