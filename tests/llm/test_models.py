@@ -139,6 +139,24 @@ def test_mixing_meets_targets(spark):
     assert out.count() == sum(r.copies_out for r in soft_mixing.mix(docs, ids, {"en": 0.5, "de": 0.5}).collect())
 
 
+@pytest.mark.parametrize("have", [(0.75, 0.12, 0.10, 0.03), (0.90, 0.08, 0.015, 0.005), (0.62, 0.13, 0.15, 0.10)])
+def test_rates_meet_targets_of_small_domains(spark, have):
+    want = [0.5, 0.2, 0.15, 0.15]
+    rows = [(1000 * h, *(float(i == j) for j in range(4))) for i, h in enumerate(have)]
+    got = soft_mixing.fit_rates(spark.createDataFrame(rows, "tokens double, p0 double, p1 double, p2 double, p3 double"), want, 1.0).collect()
+    mass = [r.rate * r.tokens for r in got]
+    assert [m / sum(mass) for m in mass] == pytest.approx(want, abs=0.002) and min(r.rate for r in got) >= 1
+
+
+def test_rates_out_of_reach_are_reported(spark):
+    rows = spark.createDataFrame([(10.0, 0.9, 0.1), (10.0, 0.8, 0.2)], "tokens double, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="can't meet"):
+        got = soft_mixing.fit_rates(rows, [0.1, 0.9], 1.0).collect()
+    assert all(r.rate >= 1 for r in got)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        soft_mixing.fit_rates(rows, [0.1, 0.9], 1.0, max_steps=1)
+
+
 def test_mixing_cases(spark):
     docs, _ = corpus(spark, 30)
     odd = docs.union(spark.createDataFrame([(None, "the of", "en", "a", 1, "", 1), (500, None, None, None, None, None, None), (501, "", "en", "a", 1, "", 1), (502, "a a", "en", "", 1, "", 1), (502, "a a", "en", "", 1, "", 1)], DOC))
