@@ -1,4 +1,4 @@
-"""What several operators share: scratch tables, name-safe inputs, components.
+"""What several operators share: scratch tables, name-safe inputs, what Python workers keep, components.
 
 Scratch tables live under the folder that the session names in ``spark.checkpoint.dir``. Every executor can read that
 folder, so a lost executor costs only the tasks that it ran.
@@ -7,8 +7,11 @@ folder, so a lost executor costs only the tasks that it ran.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,14 +21,19 @@ LOWER = UPPER.lower()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none (tests)."""
+    """The shared folder for intermediate tables. Where the session names none, a temporary one serves a local master
+    (tests); on a cluster that would lose rows unseen, so it is an error."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lectern-scratch-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _temporary.get(spark.sparkContext.applicationId)
+        if not root:
+            root = _temporary[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="lectern-scratch-")
     return root.rstrip("/")
 
 
+_temporary: dict[str, str] = {}
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -69,6 +77,31 @@ def _sweep() -> None:
             return
 
 
+def named(name: str) -> Column:
+    """The column of just that name, whatever marks it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Whole rows as one struct ``row``, and ``columns`` beside it: no name of theirs can meet one of an input column.
+
+    ``select("row.*")`` takes the rows apart again.
+    """
+    return docs.select(F.struct("*").alias("row"), *(c.alias(name) for name, c in columns.items()))
+
+
+_kept: dict[tuple, Any] = {}
+
+
+def kept_by_worker(key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` made for ``key`` in this Python worker. Workers outlive their tasks and are shared by the stages of a
+    job, so a worker keeps one such thing, that of the last stage."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = build()
+    return _kept[key]
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as the empty text. A text of ASCII alone takes the way that is faster."""
     text = F.coalesce(text, F.lit(""))

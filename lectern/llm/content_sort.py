@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, named, packed
 
 
 def content_sort(
@@ -34,7 +34,7 @@ def content_sort(
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep: {keep}")
     best = F.min if keep == "smallest" else F.max
-    rows = docs.select(F.col(id_col).alias("id"), normalise(F.col(text_col)).alias("norm"))
+    rows = docs.select(named(id_col).alias("id"), normalise(named(text_col)).alias("norm"))
     counts = rows.groupBy(F.xxhash64("norm").alias("h")).agg(F.count("*").alias("n"))
     # a text with a share of hot_share of all rows passes the floor for any total that the counts can have
     total = docs.count()
@@ -61,5 +61,5 @@ def content_sort(
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that :func:`content_sort` drops; rows with a null id stay."""
-    gone = content_sort(docs, id_col, text_col, **how).where("not kept and id is not null").select(F.col("id").alias(id_col))
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    gone = content_sort(docs, id_col, text_col, **how).where("not kept and id is not null").select("id")
+    return packed(docs, id=named(id_col)).join(gone, "id", "left_anti").select("row.*")

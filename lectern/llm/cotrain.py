@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named, packed
+
 META = 256  # hashed categories of the metadata view; binned numbers follow
 BINS = 12
 _LETTERS = bytes([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -202,7 +204,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     The rows with the least hashes of their ids are taken, up to ``max_labelled`` and ``max_pool``; only fitting uses them.
     """
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("quality").alias("__q"), F.max("toxic").alias("__t"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *(F.col(c).cast("string").alias(f"__m{i}") for i, c in enumerate(meta_cols)))
+    rows = docs.select(named(id_col).alias("__id"), named(text_col).alias("__text"), *(named(c).cast("string").alias(f"__m{i}") for i, c in enumerate(meta_cols)))
     ids = rows.select("__id").where("__id is not null").distinct().join(known, "__id", "left").withColumn("__h", F.xxhash64("__id"))
     has = F.col("__q").isNotNull() & F.col("__t").isNotNull()
     few = ids.where(has).orderBy("__h", "__id").limit(max_labelled).unionByName(ids.where(~has).orderBy("__h", "__id").limit(max_pool))
@@ -317,14 +319,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     labelled documents nothing is rejected; with one class only, its rate is the score. An empty table gives no rows.
     """
     model = fit_from_tables(docs, labels, id_col, text_col, meta_cols, **how)
-    score = score_column(model, docs.sparkSession, F.col(text_col), *(F.col(c) for c in meta_cols))
-    rows = docs.select(F.col(id_col).alias("id"), score.alias("s"))
+    score = score_column(model, docs.sparkSession, named(text_col), *(named(c) for c in meta_cols))
+    rows = docs.select(named(id_col).alias("id"), score.alias("s"))
     return rows.select("id", "s.low_quality", "s.toxic", ((F.col("s.low_quality") < threshold) & (F.col("s.toxic") < threshold)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text", meta_cols: tuple[str, str] = ("lang", "source"), threshold: float = 0.5, **how) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, str] = ("lang", "source"), threshold: float = 0.5, **how) -> DataFrame:
     """``docs`` without those that :func:`score_documents` rejects."""
-    model = fit_from_tables(docs, labels, text_col=text_col, meta_cols=meta_cols, **how)
-    name = "__score"
-    scored = docs.withColumn(name, score_column(model, docs.sparkSession, F.col(text_col), *(F.col(c) for c in meta_cols)))
-    return scored.where((F.col(f"{name}.low_quality") < threshold) & (F.col(f"{name}.toxic") < threshold)).select(*docs.columns)
+    model = fit_from_tables(docs, labels, id_col, text_col, meta_cols, **how)
+    scored = packed(docs, score=score_column(model, docs.sparkSession, named(text_col), *(named(c) for c in meta_cols)))
+    return scored.where((F.col("score.low_quality") < threshold) & (F.col("score.toxic") < threshold)).select("row.*")

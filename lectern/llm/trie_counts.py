@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import kept_by_worker, named
+
 MARK = "▁"  # stands for the space before a word
 FALLBACK = 10.0  # a byte of a character without piece scores this much below the last piece
 
@@ -87,21 +89,12 @@ class Trie:
         return len(words), sum([get(w) or slow(w) for w in words])
 
 
-_tries: dict[str, Trie] = {}
-
-
-def _trie(path: str) -> Trie:
-    if path not in _tries:
-        _tries[path] = Trie(unigram_scores(ranked_pieces(path)))
-    return _tries[path]
-
-
 def count_column(text: Column, vocabulary: str) -> Column:
     """struct(n_pretokens, n_tokens) of a text. Each Python worker keeps a trie over its batches; nothing is shuffled."""
 
     @F.arrow_udf("struct<n_pretokens:long,n_tokens:long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        trie = _trie(vocabulary)
+        trie = kept_by_worker(("trie", vocabulary), lambda: Trie(unigram_scores(ranked_pieces(vocabulary))))
         for texts in batches:
             found = [trie.count_text(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["n_pretokens", "n_tokens"])
@@ -112,4 +105,4 @@ def count_column(text: Column, vocabulary: str) -> Column:
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, n_pretokens, n_tokens``. Null and blank texts have none; null ids and repeated rows
     are counted like others; other columns are not read; an empty table gives no rows."""
-    return docs.select(F.col(id_col).alias("id"), count_column(F.col(text_col), vocabulary).alias("c")).select("id", "c.n_pretokens", "c.n_tokens")
+    return docs.select(named(id_col).alias("id"), count_column(named(text_col), vocabulary).alias("c")).select("id", "c.n_pretokens", "c.n_tokens")

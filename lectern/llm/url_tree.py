@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, named
 
 #: Shapes of a segment that is a value rather than a name, most specific first.
 VARIABLE = (
@@ -116,7 +116,7 @@ def judge_urls(
     Repeated rows stay. Other columns are not read.
     """
     host, path = split_url(F.col("url"))
-    base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
+    base = pages.select(named(id_col).alias("id"), named(url_col).alias("url")).select("id", host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     base = base.select("*", rule.alias("rule"), verdict.alias("ruled"), F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), _shape).alias("raw"))
     if labels is None:
