@@ -33,12 +33,16 @@ def repeated_keys(lines: DataFrame, band: float = BAND, least_pages: int = 3, la
 
 
 def mark_running_text(lines: DataFrame, band: float = BAND) -> DataFrame:
-    """``lines`` with ``is_running``: in a margin, and a page number or a repeated key."""
-    keyed = lines.withColumn("header_key", F.when(in_band(band), T.header_key(F.col("text"))))
+    """``lines`` with ``is_running``: in a margin, and a page number or a repeated key.
+
+    Only the lines of margins have a key and are joined; the body of a book passes by as it is.
+    """
+    inside = F.coalesce(in_band(band), F.lit(False))
+    margins = lines.where(inside).withColumn("header_key", T.header_key(F.col("text")))
     repeated = repeated_keys(lines, band).select("book_id", "header_key", F.lit(True).alias("repeats"))
-    both = keyed.join(repeated, ["book_id", "header_key"], "left")
-    running = F.col("header_key").isNotNull() & (T.is_page_number(F.col("text")) | F.coalesce("repeats", F.lit(False)))
-    return both.select(*lines.columns, running.alias("is_running"))
+    both = margins.join(repeated, ["book_id", "header_key"], "left")
+    running = F.coalesce(F.col("header_key").isNotNull() & (T.is_page_number(F.col("text")) | F.coalesce("repeats", F.lit(False))), F.lit(False))
+    return both.select(*lines.columns, running.alias("is_running")).unionAll(lines.where(~inside).withColumn("is_running", F.lit(False)))
 
 
 def strip_running_text(lines: DataFrame, band: float = BAND) -> DataFrame:

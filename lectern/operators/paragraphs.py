@@ -38,18 +38,19 @@ def starts_paragraph() -> Column:
     )
 
 
-def number_paragraphs(lines: DataFrame) -> DataFrame:
+def number_paragraphs(lines: DataFrame, default_leading: float = 14.0) -> DataFrame:
     """``lines`` with ``para_no``: a running count of the lines that begin a paragraph, over a book in reading order.
 
-    A book is read in order by one task, with its lines but no more; books are dealt over tasks.
+    Lines are read once and dealt twice: by page, for columns and neighbours on a page, and by book, for its leading and
+    style and the lines in order. A book is read by one task, with its lines but no more; books are dealt over tasks.
     """
-    annotated = layout.annotate_columns(lines)
-    leading = layout.typical_leading(lines)
-    style = layout.indent_style(annotated, leading).select("book_id", "indent_style")
-    known = annotated.join(leading, "book_id").join(style, "book_id")
+    book = W.partitionBy("book_id")
+    rows = layout.annotate_columns(lines).withColumns({"__dy": layout.usable_step(), "next": layout.next_on_page()})
+    rows = rows.withColumn("leading", F.coalesce(F.median("__dy").over(book), F.lit(default_leading)))
+    start, indented = layout.paragraph_start()
     prev = F.lag(F.struct("text", "x1", "left", "right", "size", "base", "block", "page")).over(in_book())
-    starts = known.withColumn("prev", prev).withColumn("starts", starts_paragraph())
-    numbered = starts.withColumn("para_no", F.sum(F.col("starts").cast("int")).over(in_book().rowsBetween(W.unboundedPreceding, 0)).cast("int"))
+    known = rows.withColumns({"indent_style": layout.has_indents(F.count_if(start).over(book), F.count_if(indented).over(book)), "prev": prev})
+    numbered = known.withColumn("starts", starts_paragraph().cast("int")).withColumn("para_no", F.sum("starts").over(in_book().rowsBetween(W.unboundedPreceding, 0)).cast("int"))
     return numbered.select(*lines.columns, "para_no")
 
 

@@ -15,6 +15,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _pages(texts: DataFrame, book: Column, order: Column, text: Column) -> DataFrame:
+    """``book_id, page, before, parts``: each row's lines; pages are numbered from 0 in ``order`` within a book, and
+    ``before`` counts the lines that aren't blank of the pages before. What is ranked are numbers; texts stay where they are
+    until they meet their page's."""
+    rows = texts.select(book.cast("string").alias("book_id"), order.alias("ord"), F.split(text, "\n").alias("parts"))
+    sizes = rows.groupBy("book_id", "ord").agg(F.sum(F.size(F.filter("parts", lambda t: F.trim(t) != ""))).alias("filled"))
+    by_page = W.partitionBy("book_id").orderBy("ord")
+    numbers = sizes.select("book_id", "ord", (F.row_number().over(by_page) - 1).alias("page"), F.coalesce(F.sum("filled").over(by_page.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    found = numbers.select(F.col("book_id").alias("b"), F.col("ord").alias("o"), "page", "before")
+    return rows.join(found, rows["book_id"].eqNullSafe(F.col("b")) & rows["ord"].eqNullSafe(F.col("o"))).select("book_id", "page", "before", "parts")
+
+
 def lines_of(texts: DataFrame, book: Column, order: Column, text: Column, line_height: float = 14.0) -> DataFrame:
     """Lines (``LINE_SCHEMA``) of a table in which each row is a page.
 
@@ -22,10 +34,7 @@ def lines_of(texts: DataFrame, book: Column, order: Column, text: Column, line_h
     page without lines vanishes. As texts have no geometry, a line's place gives it one: lines are ``line_height`` apart;
     of six, one is set far to the left and one in a second column; short lines are set larger; five make a block.
     """
-    ranked = texts.select(book.cast("string").alias("book_id"), order.alias("ord"), text.alias("page_text")).withColumn(
-        "page", (F.dense_rank().over(W.partitionBy("book_id").orderBy("ord")) - 1))
-    rows = ranked.select("book_id", "page", F.split("page_text", "\n").alias("parts")).select("book_id", "page", F.size("parts").alias("n"), F.posexplode("parts").alias("line_no", "text"))
-    rows = rows.where(F.trim("text") != "")
+    rows = _pages(texts, book, order, text).select("book_id", "page", F.size("parts").alias("n"), F.posexplode("parts").alias("line_no", "text")).where(F.trim("text") != "")
     at = F.col("line_no")
     x0 = F.when(at % 6 == 0, 72.0).when(at % 6 == 3, 330.0).otherwise(90.0)
     return rows.select(
@@ -41,15 +50,16 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as paragraphs of books (``PARA_SCHEMA``): each line that isn't blank; ``para_no`` follows pages and lines."""
-    lines = document_lines(spark, sf_dir)
-    number = F.row_number().over(W.partitionBy("book_id").orderBy("page", "line_no"))
-    return lines.select("book_id", number.alias("para_no"), "page", "text", F.lit(False).alias("is_break"))
+    pages = _pages(read(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), F.col("text"))
+    rows = pages.select("book_id", "page", "before", F.posexplode(F.filter("parts", lambda t: F.trim(t) != "")).alias("at", "text"))
+    return rows.select("book_id", (F.col("before") + F.col("at") + 1).cast("int").alias("para_no"), "page", "text", F.lit(False).alias("is_break"))
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as sections of books: a document is a section, titled by its number and language."""
-    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), "doc_id", "lang", "text")
-    numbered = rows.withColumn("section_no", F.row_number().over(W.partitionBy("book_id").orderBy("doc_id")))
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", "lang", "text")
+    numbers = rows.select(F.col("source").alias("book_id"), F.col("doc_id").alias("d")).distinct().withColumn("section_no", F.row_number().over(W.partitionBy("book_id").orderBy("d")))
+    numbered = rows.join(numbers, rows["source"].eqNullSafe(F.col("book_id")) & rows["doc_id"].eqNullSafe(F.col("d")))
     title = F.concat(F.lit("Part "), F.col("section_no").cast("string"), F.lit(" = "), F.col("lang"))
     parts = numbered.select("book_id", "section_no", title.alias("title"), F.posexplode(F.split("text", "\n")).alias("para_no", "text")).where(F.trim("text") != "")
     return parts.withColumn("is_break", F.lit(False))
