@@ -200,9 +200,16 @@ def mime_type(fmt: Column) -> Column:
     return F.coalesce(F.try_element_at(table, fmt), F.lit("audio/mpeg"))
 
 
+# Fixed values of the speech service's interface: headers, names that stand for the model, the end of its path.
+REQUEST_HEADERS = {"Content-Type": "application/json", "Connection": "close"}
+MODEL_NAMES = ("hexgrad/Kokoro-82M", "kokoro", "Kokoro-82M")
+SERVED_MODEL = "speaches-ai/Kokoro-82M-v1.0-ONNX"
+SPEECH_PATH = "/audio/speech"
+
+
 def speech_url(endpoint: Column) -> Column:
     base = F.rtrim(endpoint, F.lit("/"))
-    return F.when(base.endswith("/audio/speech"), base).when(base.contains("/v1"), F.concat(base, F.lit("/audio/speech"))).otherwise(F.concat(base, F.lit("/v1/audio/speech")))
+    return F.when(base.endswith(SPEECH_PATH), base).otherwise(F.concat(base, F.when(base.contains("/v1"), "").otherwise("/v1"), F.lit(SPEECH_PATH)))
 
 
 def is_local_endpoint(url: Column) -> Column:
@@ -212,7 +219,7 @@ def is_local_endpoint(url: Column) -> Column:
 
 def speech_payload(text: Column, model: Column, voice: Column, speed: Column) -> Column:
     """The JSON body of a request to the speech service."""
-    served = F.when(model.isin("hexgrad/Kokoro-82M", "kokoro", "Kokoro-82M"), "speaches-ai/Kokoro-82M-v1.0-ONNX").otherwise(model)
+    served = F.when(model.isin(*MODEL_NAMES), SERVED_MODEL).otherwise(model)
     return F.to_json(F.struct(served.alias("model"), text.alias("input"), voice.alias("voice"), F.lit("mp3").alias("response_format"), speed.alias("speed")))
 
 

@@ -44,17 +44,23 @@ def outline_starts(toc: DataFrame, first: int | Column = 0, last: int | Column |
     return usable.join(chosen, ["book_id", "level"]).groupBy("book_id", "page").agg(F.min("title").alias("title"))
 
 
-def sections_from_outline(paras: DataFrame, toc: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
-    """Each paragraph goes to the last start at or before its page; those before all starts are front matter.
-
-    Starts and paragraphs are merged in page order and the title carried forward: an as-of join with one shuffle.
-    """
+def _carried(paras: DataFrame, toc: DataFrame, first: int, last: int | None) -> DataFrame:
+    """``paras`` with ``own(section_no, title)``, the last start at or before their page, null before all, and ``outlined``,
+    whether their book has starts. Both are merged in page order and the title carried forward: an as-of join with one
+    shuffle."""
     starts = outline_starts(toc, first, last)
     numbered = starts.withColumn("section_no", F.row_number().over(W.partitionBy("book_id").orderBy("page")))
-    of_start = numbered.select("book_id", "page", F.lit(None).cast("int").alias("para_no"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("is_break"), F.struct("section_no", "title").alias("start"))
-    both = of_start.unionByName(paras.select("book_id", "page", "para_no", "text", "is_break").join(starts.select("book_id").distinct(), "book_id", "left_semi"), allowMissingColumns=True)
+    of_start = numbered.select("book_id", "page", F.struct("section_no", "title").alias("start"))
+    both = of_start.unionByName(paras, allowMissingColumns=True)
     order = W.partitionBy("book_id").orderBy("page", F.col("para_no").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    placed = both.withColumn("own", F.last("start", ignorenulls=True).over(order)).where("para_no is not null")
+    placed = both.withColumns({"own": F.last("start", ignorenulls=True).over(order), "outlined": F.max(F.col("start").isNotNull()).over(W.partitionBy("book_id"))})
+    return placed.where("para_no is not null").drop("start")
+
+
+def sections_from_outline(paras: DataFrame, toc: DataFrame, first: int = 0, last: int | None = None) -> DataFrame:
+    """Each paragraph goes to the last start at or before its page; those before all starts are front matter. A book without
+    starts has no row."""
+    placed = _carried(paras.select("book_id", "page", "para_no", "text", "is_break"), toc, first, last).where("outlined")
     sections = placed.select("book_id", F.coalesce("own.section_no", F.lit(0)).alias("section_no"), F.coalesce("own.title", F.lit(FRONT)).alias("title"), "para_no", "text", "is_break")
     return drop_title_echo(sections)
 
@@ -83,23 +89,30 @@ def heading_candidates(paras: DataFrame) -> DataFrame:
     return marked.withColumn("heading", heading).withColumn("words", para_words())
 
 
-def sections_from_headings(paras: DataFrame, min_words: int = 80) -> DataFrame:
-    """Sections at headings with ``min_words`` before the next candidate; books with fewer than two have no row.
+def _headed(paras: DataFrame, min_words: int) -> DataFrame:
+    """``paras`` with ``head(section_no, title)``, ``found`` (accepted headings of the book) and ``of_heading`` (it is one).
 
-    A rejected heading stays as text. Words between candidates are differences of a running sum.
+    Words between candidates are differences of a running sum.
     """
     marked = heading_candidates(paras)
     body = F.when(~F.col("candidate") & ~F.col("consumed"), F.col("words")).otherwise(0)
     spans = marked.withColumn("span", F.sum(F.col("candidate").cast("int")).over(so_far()))
     own = W.partitionBy("book_id", "span")
     kept = spans.withColumn("kept", F.col("candidate") & (F.sum(body).over(own) >= min_words))
-    placed = (
-        kept.withColumn("section_no", F.sum(F.col("kept").cast("int")).over(so_far()).cast("int"))
-        .withColumn("title", F.coalesce(F.last(F.when(F.col("kept"), F.col("heading")), ignorenulls=True).over(so_far()), F.lit(FRONT)))
-        .withColumn("found", F.sum(F.col("kept").cast("int")).over(W.partitionBy("book_id")))
-    )
+    number = F.sum(F.col("kept").cast("int")).over(so_far()).cast("int")
+    title = F.coalesce(F.last(F.when(F.col("kept"), F.col("heading")), ignorenulls=True).over(so_far()), F.lit(FRONT))
     of_heading = F.col("kept") | (F.col("consumed") & F.coalesce(F.lag("kept").over(by_para()), F.lit(False)))
-    return placed.withColumn("of_heading", of_heading).where("found >= 2 and not of_heading").select(*COLUMNS)
+    placed = kept.withColumns({"head_no": number, "head_title": title, "found": F.sum(F.col("kept").cast("int")).over(W.partitionBy("book_id")), "of_heading": of_heading})
+    return placed.select(*paras.columns, F.struct(F.col("head_no").alias("section_no"), F.col("head_title").alias("title")).alias("head"), "found", "of_heading")
+
+
+def sections_from_headings(paras: DataFrame, min_words: int = 80) -> DataFrame:
+    """Sections at headings with ``min_words`` before the next candidate; books with fewer than two have no row.
+
+    A rejected heading stays as text.
+    """
+    placed = _headed(paras, min_words).where("found >= 2 and not of_heading")
+    return placed.select("book_id", "head.section_no", "head.title", "para_no", "text", "is_break")
 
 
 def sections_of_size(paras: DataFrame, limit: int = 6000) -> DataFrame:
@@ -111,16 +124,18 @@ def sections_of_size(paras: DataFrame, limit: int = 6000) -> DataFrame:
 
 def choose_sections(paras: DataFrame, toc: DataFrame, min_words: int = 80, limit: int = 6000) -> DataFrame:
     """Sections of each book by its outline, else its headings, else of fixed size, with ``chapter_source``; sections
-    without text dropped. A later way only sees the books that the ways before it left."""
-    by_outline = sections_from_outline(paras, toc)
-    left = paras.join(by_outline.select("book_id").distinct(), "book_id", "left_anti")
-    by_heading = sections_from_headings(left, min_words)
-    rest = left.join(by_heading.select("book_id").distinct(), "book_id", "left_anti")
-    ways = [("outline", by_outline), ("headings", by_heading), ("fixed", sections_of_size(rest, limit))]
-    first, *others = (df.withColumn("chapter_source", F.lit(way)) for way, df in ways)
-    for df in others:
-        first = first.unionByName(df)
-    return drop_empty_sections(first)
+    without text dropped. All three are worked out over the same rows, and each book takes one: the paragraphs are read
+    once, and once more, as numbers, to be packed."""
+    placed = _carried(_headed(paras.select("book_id", "page", "para_no", "text", "is_break"), min_words), toc, 0, None)
+    way = F.when(F.col("outlined"), "outline").when(F.col("found") >= 2, "headings").otherwise("fixed")
+    known = placed.withColumn("chapter_source", way).where((F.col("chapter_source") != "headings") | ~F.col("of_heading"))
+    bins = chunks.word_budget(known.where("chapter_source = 'fixed'").select("book_id", "para_no", para_words().alias("words")), limit)
+    both = known.join(bins, ["book_id", "para_no"], "left")
+    pick = lambda outline, heading, fixed: F.when(F.col("outlined"), outline).when(F.col("found") >= 2, heading).otherwise(fixed)
+    number = pick(F.coalesce("own.section_no", F.lit(0)), F.col("head.section_no"), F.col("bin"))
+    title = pick(F.coalesce("own.title", F.lit(FRONT)), F.col("head.title"), F.concat(F.lit("Section "), F.col("bin").cast("string")))
+    rows = both.select("book_id", number.alias("section_no"), title.alias("title"), "para_no", "text", "is_break", "chapter_source")
+    return drop_empty_sections(drop_title_echo(rows, where=F.col("chapter_source") == "outline"))
 
 
 def drop_empty_sections(sections: DataFrame) -> DataFrame:
@@ -136,14 +151,14 @@ def is_echo(title: Column, text: Column, is_break: Column) -> Column:
     return F.coalesce(short & (text.rlike(P.BARE_NUMBER) | ((own != "") & (of_title.contains(own) | own.contains(of_title)))), F.lit(False))
 
 
-def drop_title_echo(sections: DataFrame, places: int = 3) -> DataFrame:
-    """Sections without echoes of their title at their beginning; front matter is left as it is.
+def drop_title_echo(sections: DataFrame, places: int = 3, where: Column | None = None) -> DataFrame:
+    """Sections without echoes of their title at their beginning; front matter, and what isn't of ``where``, is left as it is.
 
     An echo is dropped while fewer than ``places`` other paragraphs have stayed before it.
     """
     own = W.partitionBy("book_id", "section_no").orderBy("para_no")
     echo = is_echo(F.col("title"), F.col("text"), F.col("is_break"))
-    marked = sections.withColumn("__echo", echo & (F.col("section_no") > 0))
+    marked = sections.withColumn("__echo", echo & (F.col("section_no") > 0) & (F.lit(True) if where is None else where))
     stayed = F.coalesce(F.sum(F.when(F.col("__echo"), 0).otherwise(1)).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return marked.withColumn("__stayed", stayed).where(~F.col("__echo") | (F.col("__stayed") >= places)).drop("__echo", "__stayed")
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import io
+import json
 import posixpath
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
 from xml.etree import ElementTree
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .spans import LAYOUT_SCHEMA
+
 FILE_SCHEMA = "path string, content binary"
 BOOK_SCHEMA = "book_id string, title string, author string, pages int, error string, texts array<struct<page:int,para_no:int,kind:string,text:string>>, toc array<struct<toc_no:int,level:int,title:string,page:int>>"
 _BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "div", "td", "pre", "dd", "dt", "hr"}
@@ -89,28 +92,83 @@ def read_epub(data: bytes) -> dict:
             for kind, text in html_blocks(z.read(name).decode("utf-8", "replace")):
                 texts.append({"page": page, "para_no": number, "kind": kind, "text": text})
                 number += 1
-        toc = []
+        toc: list[dict] = []
+
+        def entry(level: int, label: str, folder: str, href: str) -> None:
+            target = posixpath.normpath(posixpath.join(folder, unquote(href.partition("#")[0])))
+            if target in spine:
+                toc.append({"toc_no": len(toc), "level": level, "title": label, "page": spine.index(target) + 1})
+
         ncx = next((at(e.get("href")) for e in items.values() if e.get("media-type") == "application/x-dtbncx+xml"), None)
         if ncx in z.namelist():
             def walk(node, level):
                 for point in node:
                     if _tag(point) == "navPoint":
                         label = next((e.text or "" for e in point.iter() if _tag(e) == "text"), "")
-                        src = next((e.get("src") for e in point if _tag(e) == "content"), "")
-                        target = posixpath.normpath(posixpath.join(posixpath.dirname(ncx), unquote(src.partition("#")[0])))
-                        if target in spine:
-                            toc.append({"toc_no": len(toc), "level": level, "title": label, "page": spine.index(target) + 1})
+                        entry(level, label, posixpath.dirname(ncx), next((e.get("src") for e in point if _tag(e) == "content"), ""))
                         walk(point, level + 1)
 
             walk(next(e for e in ElementTree.fromstring(z.read(ncx)).iter() if _tag(e) == "navMap"), 1)
+        nav = next((at(e.get("href")) for e in items.values() if "nav" in (e.get("properties") or "").split()), None)
+        if not toc and nav in z.namelist():  # newer books may have a navigation document alone
+            def list_of(node, level):
+                for item in node:
+                    if _tag(item) != "li":
+                        continue
+                    for e in item:
+                        if _tag(e) == "a" and e.get("href"):
+                            entry(level, " ".join("".join(e.itertext()).split()), posixpath.dirname(nav), e.get("href"))
+                        elif _tag(e) == "ol":
+                            list_of(e, level + 1)
+
+            navs = [e for e in ElementTree.fromstring(z.read(nav)).iter() if _tag(e) == "nav"]
+            of_contents = [e for e in navs if any(k.endswith("}type") and "toc" in v.split() for k, v in e.attrib.items())]
+            for e in (of_contents or navs)[:1]:
+                for top in e:
+                    if _tag(top) == "ol":
+                        list_of(top, 1)
     return {"title": title, "author": author, "pages": len(spine), "error": None, "texts": texts, "toc": toc}
 
 
+#: Readers of page layouts by file ending, for formats that no installed library decodes, such as ".pdf": they get a file's
+#: bytes and give a list of pages as dicts of ``page, ph, blocks`` (see ``spans.LAYOUT_SCHEMA``), and raise what they like.
+LAYOUT_READERS: dict[str, Callable[[bytes], list[dict]]] = {}
+
+
+def decode_layouts(files: DataFrame, readers: dict[str, Callable[[bytes], list[dict]]] | None = None, sort: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``LAYOUT_SCHEMA`` pages of ``FILE_SCHEMA`` rows whose ending has a reader, and ``book_id, error`` of those that failed.
+
+    ``sort`` puts a page's blocks into reading order, from top to bottom and left to right; without it they stay as read.
+    """
+    known = LAYOUT_READERS | (readers or {})
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns):
+                name = re.sub(r".*/", "", path.as_py() or "")
+                reader = known.get("." + name.lower().rpartition(".")[2])
+                try:
+                    pages, error = reader(content.as_py() or b"") if reader else [], None if reader else "no reader for this format"
+                    rows = [{"book_id": name, "error": error, "layout": json.dumps(pages)}]
+                except Exception as e:  # a file that can't be read stops nothing
+                    rows = [{"book_id": name, "error": f"{type(e).__name__}: {e}"[:200], "layout": "[]"}]
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("book_id", pa.string()), ("error", pa.string()), ("layout", pa.string())]))
+
+    found = files.select("path", "content").mapInArrow(of, "book_id string, error string, layout string")
+    page = LAYOUT_SCHEMA.removeprefix("book_id string, ").replace(" ", ":")
+    pages = found.select("book_id", F.explode(F.from_json("layout", f"array<struct<{page.replace(',:', ',')}>>")).alias("p")).select("book_id", "p.page", "p.ph", "p.blocks")
+    if sort:
+        top = lambda b: F.struct(F.array_min(F.transform(b["lines"], lambda x: x["bbox"][1])).alias("y"), F.array_min(F.transform(b["lines"], lambda x: x["bbox"][0])).alias("x"))
+        placed = F.array_sort(F.transform("blocks", lambda b, i: F.struct(top(b).alias("at"), i.alias("i"), b.alias("b"))), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(a["i"] - b["i"]))
+        pages = pages.withColumn("blocks", F.transform(placed, lambda x: x["b"]))
+    return pages, found.where("error is not null").select("book_id", "error")
+
+
 def _decode(path: str, data: bytes | None) -> dict:
     name = path.lower()
     empty = {"title": None, "author": None, "pages": 0, "texts": [], "toc": []}
     if not name.endswith(".epub"):
-        return empty | {"error": "no reader for this format; decode to LAYOUT_SCHEMA pages and use lines_from_layout"}
+        return empty | {"error": "no reader for this format; give one to decode_layouts and use lines_from_layout"}
     try:
         return read_epub(data or b"")
     except (zipfile.BadZipFile, RuntimeError, KeyError, StopIteration, ElementTree.ParseError) as e:

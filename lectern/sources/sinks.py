@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -82,12 +83,45 @@ def chapter_audio(chunks: DataFrame) -> DataFrame:
     return whole.select("book_id", "section_no", F.when(F.col("failed") == 0, audio.joined(F.col("parts.audio"))).alias("audio"), "failed")
 
 
-def file_writer(path_col: str, data_col: str):
-    """A ``foreachPartition`` function that writes bytes to files of a mounted folder."""
+#: Encoders of whole books by format: they get the chapters' audio in order and the metadata text, and give a file's bytes.
+PACKAGERS: dict[str, Callable[[list[bytes], str], bytes]] = {}
 
-    def write(rows) -> None:
-        for row in rows:
-            with open(row[path_col], "wb") as f:
-                f.write(row[data_col])
 
-    return write
+def packaged(chapters: DataFrame, metadata: DataFrame, fmt: str, encoders: dict[str, Callable[[list[bytes], str], bytes]] | None = None) -> DataFrame:
+    """``book_id, file_name, file, metadata`` of ``chapters(book_id, chapter_no, audio)`` and ``metadata(book_id, metadata)``.
+    A book is held by one task."""
+    encode = (encoders or {}).get(fmt) or PACKAGERS.get(fmt)
+    if encode is None:
+        raise ValueError(f"no encoder for {fmt}; put one into PACKAGERS")
+
+    @F.arrow_udf("binary")
+    def pack(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for sound, texts in batches:
+            yield pa.array([encode(parts.as_py(), text.as_py()) for parts, text in zip(sound, texts)], pa.binary())
+
+    whole = chapters.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter_no", "audio"))), lambda c: c["audio"]).alias("parts"))
+    name = F.concat(T.clean_stem(F.col("book_id")), F.lit(f".{fmt}"))
+    return whole.join(metadata, "book_id").select("book_id", name.alias("file_name"), pack("parts", "metadata").alias("file"), "metadata")
+
+
+def write_files(files: DataFrame, folder: str, name_col: str, data_col: str) -> int:
+    """Write each row's bytes to a file of ``folder``, in any store that Spark can write to; the number of files.
+
+    Bytes come through the driver, a file at a time, and a file has its name only when it is whole. For a few books; more
+    are better written as a table.
+    """
+    spark = files.sparkSession
+    part = files.select(F.col(name_col).alias("name"), F.base64(F.col(data_col)).alias("data"))
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(root)
+    n = 0
+    for row in part.toLocalIterator():  # a file at a time, as executors have no handle on the store
+        out = store.create(jvm.org.apache.hadoop.fs.Path(root, f".{row['name']}.part"), True)
+        out.write(bytearray(base64.b64decode(row["data"])))
+        out.close()
+        store.delete(jvm.org.apache.hadoop.fs.Path(root, row["name"]), False)
+        store.rename(jvm.org.apache.hadoop.fs.Path(root, f".{row['name']}.part"), jvm.org.apache.hadoop.fs.Path(root, row["name"]))
+        n += 1
+    return n
