@@ -204,6 +204,31 @@ FINAL = f"""{HEADING_SECTIONS},
     f3 AS (SELECT book_id, section_no, list(para_no ORDER BY para_no) AS ps, list(words ORDER BY para_no) AS ws FROM f2 WHERE total > 9 GROUP BY ALL),
     f4 AS (SELECT book_id, section_no, unnest(ps) AS para_no, unnest({bins('ws', 9)}) AS bin FROM f3)"""
 
+# The same over whole tables: lines of documents as paragraphs, each document under a heading of its own.
+CHAPTERED = LINES.replace("FROM documents)", "FROM (SELECT source, doc_id, 'Chapter ' || doc_id || chr(10) || text AS text FROM documents))")
+TABLE_PARAS = "paras AS (SELECT book_id, row_number() OVER (PARTITION BY book_id ORDER BY page, line_no) AS para_no, page, text FROM lines)"
+TABLE_TOC = """e0 AS (SELECT source AS book_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page FROM documents WHERE right(source, 1) IN ('0', '2', '4', '6', '8')),
+    toc AS (SELECT book_id, page AS toc_no, page % 2 + 1 AS level, 'Entry ' || doc_id AS title, page FROM e0)"""
+
+
+def of_tables(ctes: str, lines: str = CHAPTERED) -> str:
+    """CTEs over literals, over the tables instead, with the limits that queries of tables have."""
+    found = ctes.replace(literals.sql("paras"), f"{lines}, {TABLE_PARAS}").replace(literals.sql("toc"), TABLE_TOC)
+    for old, new in (("page BETWEEN 0 AND 3", "page >= 0"), (">= 5 AS kept", ">= 80 AS kept"), ("total > 9", "total > 400"), ("> 9 THEN", "> 400 THEN"), ("AND title <> 'Front matter' AND NOT", "AND NOT"), ("n * 1000 - f", "n * 1000000 - f")):
+        found = found.replace(old, new)
+    return found
+
+
+SPAN_DIGEST = "SELECT book_id, CAST(section_no AS BIGINT) AS section_no, title, CAST(min(para_no) AS BIGINT) AS first_para, count(*) AS paras, CAST(sum(length(text)) AS BIGINT) AS chars FROM {} GROUP BY ALL"
+MARKUP = "html"
+for tag in ("script", "style", "nav", "footer", "header", "head", "aside", "noscript"):
+    MARKUP = sub(MARKUP, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", "<p>")
+for old, new in ((r"(?s)<!--.*?-->", ""), (r"\s+", " "), (r"(?i)<br\s*/?>", " "), (r"(?i)</?(?:p|h[1-6]|li|blockquote|div|td|pre|dd|dt|hr)(?:\s[^>]*)?/?>", "\n"), (r"<[^>]*>", "")):
+    MARKUP = sub(MARKUP, old, new)
+MARKUP = f"replace(replace(replace({MARKUP}, '&quot;', chr(34)), '&lt;', '<'), '&amp;', '&')"
+SOFT = q("'" + chr(34))
+
+
 ORACLE = {
     "kept_lines": f"""WITH {LINES}, {KEYS} SELECT book_id, count(*) FILTER (NOT gone) AS kept, count(*) FILTER (gone) AS removed FROM (
         SELECT k.book_id, k.header_key IS NOT NULL AND ({page_number('text')} OR rep.header_key IS NOT NULL) AS gone FROM keyed k LEFT JOIN rep USING (book_id, header_key)) GROUP BY book_id""",
@@ -274,4 +299,27 @@ ORACLE = {
         b AS (SELECT *, able AND (pos - coalesce(max(CASE WHEN NOT able THEN pos END) OVER (PARTITION BY book_id ORDER BY para_no ROWS UNBOUNDED PRECEDING), 0)) % 2 = 1 AS gives FROM a),
         c AS (SELECT *, lag(CASE WHEN gives THEN text END) OVER w AS cap, lag(CASE WHEN gives THEN page END) OVER w AS cap_page FROM b WINDOW w AS (PARTITION BY book_id ORDER BY para_no))
         SELECT book_id, CAST(para_no AS BIGINT) AS para_no, CAST(coalesce(cap_page, page) AS BIGINT) AS page, coalesce(cap, '') || text AS text, false AS is_break FROM c WHERE NOT gives""",
+    "wav_lengths": f"WITH {literals.sql('chapters')} SELECT book_id, CAST(chapter_no AS BIGINT) AS chapter_no, CAST(44 + 2 * ms AS BIGINT) AS bytes, CAST(ms AS BIGINT) AS ms FROM chapters",
+    "epub_round_trip": f"""WITH {SECTIONS} SELECT book_id || '.epub' AS book_id, book_id AS title, 'Unknown' AS author, count(DISTINCT section_no) AS pages, CAST(NULL AS VARCHAR) AS error,
+        count(*) + count(DISTINCT section_no) AS paras, count(DISTINCT section_no) AS entries FROM secs GROUP BY book_id""",
+    "html_paragraphs": f"""WITH a AS (SELECT CAST(page_id AS VARCHAR) AS book_id, unnest(string_split({MARKUP}, chr(10))) AS text FROM pages), b AS (SELECT book_id, trim({sub('text', chr(92) + 's+', ' ')}) AS text FROM a)
+        SELECT book_id, count(*) AS paras, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(0 AS BIGINT) AS breaks FROM b WHERE text <> '' GROUP BY book_id""",
+    "document_headings": f"""WITH {of_tables(PARAS)} SELECT book_id, count(*) FILTER (candidate) AS candidates, count(*) FILTER (consumed) AS consumed, CAST(sum(words) AS BIGINT) AS words,
+        md5(coalesce(string_agg(heading, '|' ORDER BY heading), '')) AS headings FROM cands GROUP BY book_id""",
+    "document_heading_sections": f"WITH {of_tables(HEADING_SECTIONS)} {SPAN_DIGEST.format('hs')}",
+    "document_outline_sections": f"WITH {of_tables(OUTLINE)} {SPAN_DIGEST.format('os')}",
+    "document_finalized": f"""WITH {of_tables(FINAL).replace(bins('ws', 9), bins('ws', 400))}, ff AS (SELECT f2.book_id, dense_rank() OVER (PARTITION BY f2.book_id ORDER BY f2.section_no, coalesce(bin, 1)) AS section_no,
+        CASE WHEN bin IS NULL THEN title ELSE title || ' (part ' || bin || ')' END AS title, f2.para_no, text FROM f2 LEFT JOIN f4 USING (book_id, section_no, para_no)) {SPAN_DIGEST.format('ff')}""",
+    "document_chosen_sections": f"""WITH {of_tables(OUTLINE, LINES)},
+        r2 AS (SELECT book_id, list(para_no ORDER BY para_no) AS p, list(words ORDER BY para_no) AS ws FROM cands WHERE book_id NOT IN (SELECT book_id FROM os) GROUP BY book_id), r3 AS (SELECT book_id, unnest(p) AS para_no, unnest({bins('ws', 6000)}) AS section_no FROM r2),
+        al AS (SELECT book_id, 'outline' AS chapter_source, section_no FROM os UNION ALL SELECT book_id, 'fixed', section_no FROM r3) SELECT book_id, chapter_source, count(DISTINCT section_no) AS sections, count(*) AS paras FROM al GROUP BY ALL""",
+    "document_tidied": f"""WITH {LINES}, {TABLE_PARAS}, a AS (SELECT book_id, {tidy('text')} AS text FROM paras WHERE NOT {matches(sub('text', rf'^[{P.BULLETS}]' + chr(92) + 's*', ''), DOTS)}), b AS (SELECT *, NOT {matches('text', '[A-Za-z0-9]')} AS br FROM a WHERE text <> '')
+        SELECT book_id, count(*) AS paras, count(*) FILTER (br) AS breaks, CAST(sum(CASE WHEN NOT br THEN length(text) END) AS BIGINT) AS chars FROM b WHERE NOT br OR length(text) <= 15 GROUP BY book_id""",
+    "layout_lines": f"""WITH {LINES}, a AS (SELECT book_id, page, line_no, trim({sub('text', chr(92) + 's+', ' ')}) AS text FROM lines WHERE line_no % 4 <> 3 AND line_no % 3 <> 2)
+        SELECT book_id, page, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(12 AS DOUBLE) AS size, CAST(max(line_no) * 14 + 10 AS DOUBLE) AS base FROM a GROUP BY ALL""",
+    "low_text_warnings": f"""WITH {SECTIONS}, t AS (SELECT book_id, count(*) AS n, CAST(sum(words) AS BIGINT) AS total_words FROM sw GROUP BY book_id) SELECT book_id, total_words, n * 6 AS pages, total_words < n * 6 * 40 AS low_text, n % 2 = 0 AS no_chapters FROM t""",
+    "batch_outcomes": f"WITH {SECTIONS}, t AS (SELECT book_id, sum(words) AS w FROM sw GROUP BY book_id) SELECT count(*) FILTER (w % 2 = 0) AS done, count(*) FILTER (w % 2 <> 0) AS failed FROM t",
+    "tool_reports": f"WITH {literals.sql('requests')} SELECT count(*) FILTER (n % 3 = 0) AS ok, bool_or(n % 3 = 2) AS fatal, count(*) FILTER (n % 3 = 1) AS warned FROM requests",
+    "answer_functions": f"""WITH {T} SELECT CAST(n AS BIGINT) AS n, trim(trim({q(" '")} || t || {q("' ")}), {SOFT}) AS answer, split_part(t, ':', 1) AS book, CASE WHEN contains(t, ':') THEN t[strpos(t, ':') + 1:] END AS voice, t || '-' AS tail,
+        trim({sub("t || 'x  y'", chr(92) + 's+', ' ')}) AS clean, coalesce(nullif(trim({sub('t', '^' + chr(92) + 's+|' + chr(92) + 's+$', '')}), ''), {q("My Book'S End")}) AS title FROM texts""",
 }

@@ -9,8 +9,8 @@ from . import literals
 from .functions import audio
 from .functions import text as T
 from .operators import chapters, chunks, denoise, layout, library, paragraphs, sections
-from .sources import documents, sinks
-from .sources.tables import document_lines, document_paragraphs, document_sections, read
+from .sources import documents, sinks, spans
+from .sources.tables import chaptered, document_layout, document_lines, document_paragraphs, document_sections, outline_of, paragraphs_of, read
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -257,11 +257,75 @@ def epub_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wav_lengths(spark: SparkSession, d: str) -> DataFrame:
-    tone = F.transform(F.sequence(F.lit(1), (F.col("ms") % 1000 * 24).cast("int")), lambda i: (i % 3 - 1).cast("float"))
-    rows = literals.frame(spark, "chapters").where("ms % 1000 > 0").select("book_id", "chapter_no", audio.encoded(tone).alias("wav"))
+    """A sample a millisecond, so that lengths of an hour stay small."""
+    tone = F.transform(F.sequence(F.lit(1), F.col("ms").cast("int")), lambda i: (i % 3 - 1).cast("float"))
+    rows = literals.frame(spark, "chapters").select("book_id", "chapter_no", audio.encoded(tone, rate=1000).alias("wav"))
     return longs(rows.select("book_id", "chapter_no", F.octet_length("wav").alias("bytes"), audio.wav_duration_ms(F.col("wav")).alias("ms")))
 
 
+def document_headings(spark: SparkSession, d: str) -> DataFrame:
+    found = sections.heading_candidates(paragraphs_of(chaptered(spark, d)))
+    return found.groupBy("book_id").agg(F.count_if("candidate").alias("candidates"), F.count_if("consumed").alias("consumed"), F.sum("words").alias("words"), F.md5(F.array_join(F.array_sort(F.collect_list("heading")), "|")).alias("headings"))
+
+
+def _spans_of(found: DataFrame) -> DataFrame:
+    return longs(found.groupBy("book_id", "section_no", "title").agg(F.min("para_no").alias("first_para"), F.count("*").alias("paras"), F.sum(F.length("text")).alias("chars")))
+
+
+def document_heading_sections(spark: SparkSession, d: str) -> DataFrame:
+    return _spans_of(sections.sections_from_headings(paragraphs_of(chaptered(spark, d)), 80))
+
+
+def document_outline_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs = chaptered(spark, d)
+    return _spans_of(sections.sections_from_outline(paragraphs_of(docs), outline_of(docs)))
+
+
+def document_chosen_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    found = sections.choose_sections(paragraphs_of(docs), outline_of(docs), 80, 6000)
+    return longs(found.groupBy("book_id", "chapter_source").agg(F.countDistinct("section_no").alias("sections"), F.count("*").alias("paras")))
+
+
+def document_finalized(spark: SparkSession, d: str) -> DataFrame:
+    return _spans_of(sections.finalize(sections.sections_from_headings(paragraphs_of(chaptered(spark, d)), 80), 400))
+
+
+def document_tidied(spark: SparkSession, d: str) -> DataFrame:
+    found = paragraphs.tidy_paragraphs(document_paragraphs(spark, d).select("book_id", "para_no", "page", "text"))
+    return longs(found.groupBy("book_id").agg(F.count("*").alias("paras"), F.count_if("is_break").alias("breaks"), F.sum(F.length("text")).alias("chars")))
+
+
+def layout_lines(spark: SparkSession, d: str) -> DataFrame:
+    found = spans.lines_from_layout(document_layout(spark, d))
+    return longs(found.groupBy("book_id", "page").agg(F.count("*").alias("lines"), F.sum(F.length("text")).alias("chars"), F.max("size").alias("size"), F.max("base").alias("base")))
+
+
+def low_text_warnings(spark: SparkSession, d: str) -> DataFrame:
+    totals = chapters.book_totals(chapters.section_words(document_sections(spark, d)))
+    books = totals.select("book_id", F.lit(False).alias("is_epub"), (F.col("sections") * 6).alias("pages"), F.when(F.col("sections") % 2 == 0, "fixed").otherwise("outline").alias("chapter_source"))
+    return longs(chapters.warnings(totals, books).select("book_id", "total_words", "pages", "low_text", "no_chapters"))
+
+
+def batch_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    totals = chapters.book_totals(chapters.section_words(document_sections(spark, d)))
+    done, failed = chapters.outcome(F.col("total_words") % 2 == 0)
+    return totals.agg(done.alias("done"), failed.alias("failed"))
+
+
+def tool_reports(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("n") % 3 == 0, "ok").when(F.col("n") % 3 == 1, "warn").otherwise("fail")
+    return chapters.tool_report(literals.frame(spark, "requests").select(F.col("voice").alias("name"), status.alias("status")))
+
+
+def answer_functions(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("t")
+    book, voice = T.split_target(t)
+    answer, tail = T.clean_answer(F.concat(F.lit(" '"), t, F.lit("' "))), T.soft_hyphen_tail(F.concat(t, F.lit("­ ")))
+    clean, title = T.clean_chars(F.concat(t, F.lit("x²​  y"))), T.fallback_title(t, F.lit("my_book's end"))
+    return longs(literals.frame(spark, "texts").select("n", answer.alias("answer"), book.alias("book"), voice.alias("voice"), tail.alias("tail"), clean.alias("clean"), title.alias("title")))
+
+
 def pcm_samples(spark: SparkSession, d: str) -> DataFrame:
     return longs(literals.frame(spark, "requests").select("n", T.pcm16(F.col("speed") / 3 - 0.5).alias("sample")))
 
@@ -271,4 +335,5 @@ QUERIES = {f.__name__: f for f in (
     document_words, text_functions, stem_functions, headings, outline_starts, outline_sections, heading_sections, fixed_sections, chosen_sections, finalized_sections, narration_chunks, conversation_bins,
     section_totals, section_preview, latest_sections, chapter_marks, chapter_metadata, literal_metadata, total_lengths, length_labels, concat_lists, plain_texts, chapter_markup, library_listing, pending_books,
     library_counts, library_search, voice_models, resolved_voices, checked_requests, request_payloads, html_paragraphs, epub_round_trip, wav_lengths, pcm_samples,
+    document_headings, document_heading_sections, document_outline_sections, document_chosen_sections, document_finalized, document_tidied, layout_lines, low_text_warnings, batch_outcomes, tool_reports, answer_functions,
 )}

@@ -50,9 +50,7 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as paragraphs of books (``PARA_SCHEMA``): each line that isn't blank; ``para_no`` follows pages and lines."""
-    pages = _pages(read(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), F.col("text"))
-    rows = pages.select("book_id", "page", "before", F.posexplode(F.filter("parts", lambda t: F.trim(t) != "")).alias("at", "text"))
-    return rows.select("book_id", (F.col("before") + F.col("at") + 1).cast("int").alias("para_no"), "page", "text", F.lit(False).alias("is_break"))
+    return paragraphs_of(read(spark, sf_dir, "documents"))
 
 
 def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +61,42 @@ def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Part "), F.col("section_no").cast("string"), F.lit(" = "), F.col("lang"))
     parts = numbered.select("book_id", "section_no", title.alias("title"), F.posexplode(F.split("text", "\n")).alias("para_no", "text")).where(F.trim("text") != "")
     return parts.withColumn("is_break", F.lit(False))
+
+
+def chaptered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents``, each with a chapter heading for its first line."""
+    return read(spark, sf_dir, "documents").withColumn("text", F.concat(F.lit("Chapter "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")))
+
+
+def paragraphs_of(texts: DataFrame) -> DataFrame:
+    """A table like ``documents`` as paragraphs of books (``PARA_SCHEMA``): each line that isn't blank; ``para_no`` follows
+    pages and lines."""
+    pages = _pages(texts, F.col("source"), F.col("doc_id"), F.col("text"))
+    rows = pages.select("book_id", "page", "before", F.posexplode(F.filter("parts", lambda t: F.trim(t) != "")).alias("at", "text"))
+    return rows.select("book_id", (F.col("before") + F.col("at") + 1).cast("int").alias("para_no"), F.col("page").cast("int").alias("page"), "text", F.lit(False).alias("is_break"))
+
+
+def outline_of(texts: DataFrame) -> DataFrame:
+    """An outline (``TOC_SCHEMA``) of a table like ``documents``, for books whose name ends in an even digit: an entry for each
+    page, of level 1 or 2 by turns."""
+    own = texts.where(F.right("source", F.lit(1)).isin("0", "2", "4", "6", "8")).select(F.col("source").alias("book_id"), "doc_id").distinct()
+    rows = own.withColumn("page", F.row_number().over(W.partitionBy("book_id").orderBy("doc_id")))
+    return rows.select("book_id", F.col("page").alias("toc_no"), (F.col("page") % 2 + 1).alias("level"), F.concat(F.lit("Entry "), F.col("doc_id").cast("string")).alias("title"), "page")
+
+
+def document_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as page layouts (``spans.LAYOUT_SCHEMA``): a line is its text and a raised note number; every fourth is
+    rotated, and every third block of a page is a picture."""
+    pages = _pages(read(spark, sf_dir, "documents"), F.col("source"), F.col("doc_id"), F.col("text"))
+    at = lambda i: (i * 14 + 10).cast("double")
+
+    def span(text: Column, size: float, flags: int, x: Column, y: Column) -> Column:
+        return F.struct(text.alias("text"), F.lit(size).alias("size"), F.lit(flags).alias("flags"), F.array(x, y).alias("origin"))
+
+    def line(text: Column, i: Column) -> Column:
+        box = F.array(F.lit(72.0), at(i) - 10, F.lit(300.0), at(i) + 2)
+        turned = F.when(i % 4 == 3, F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))
+        return F.struct(turned.alias("dir"), box.alias("bbox"), F.array(span(text, 12.0, 0, F.lit(72.0), at(i)), span(F.lit("12"), 7.0, 1, F.lit(300.0), at(i) - 4)).alias("spans"))
+
+    block = lambda own, i: F.struct(F.when(i % 3 == 2, 1).otherwise(0).alias("type"), F.array(own).alias("lines"))
+    return pages.select("book_id", "page", (F.size("parts") * 14.0).cast("double").alias("ph"), F.transform(F.transform("parts", line), block).alias("blocks"))
