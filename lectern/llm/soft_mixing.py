@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, named, packed
 
 BUCKETS = 4096
 #: Weight of the rates' own change beside the targets.
@@ -24,12 +24,13 @@ RIDGE = 1e-8
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words between spaces; other ASCII white space counts as a space. May hold empty strings."""
-    return F.split(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\v\f\r", F.lower(F.coalesce(text, F.lit("")))), " ")
+    """Lower-case words between ASCII white space."""
+    spaced = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\n\v\f\r", F.lower(F.coalesce(text, F.lit(""))))
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
 
 
 def fit_domains(docs: DataFrame, labelled_ids: DataFrame, domain_col: str, id_col: str, text_col: str, max_labelled: int = 20_000) -> tuple[list[str], list[float], list[list[float]]]:
@@ -38,9 +39,9 @@ def fit_domains(docs: DataFrame, labelled_ids: DataFrame, domain_col: str, id_co
     The documents with the least hashes of their ids are taken. What comes to the driver is a count for each domain and
     bucket. A document with a null domain isn't used.
     """
-    ids = labelled_ids.select(F.col(labelled_ids.columns[0]).alias("__id")).where("__id is not null").distinct().orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(domain_col).cast("string").alias("d"), F.col(text_col).alias("t")).where("d is not null")
-    words = rows.join(F.broadcast(ids), "__id", "left_semi").select("d", F.explode(_words(F.col("t"))).alias("w")).where("w <> ''")
+    ids = labelled_ids.select(named(labelled_ids.columns[0]).alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_labelled)
+    rows = docs.select(named(id_col).alias("id"), named(domain_col).cast("string").alias("d"), named(text_col).alias("t")).where("d is not null")
+    words = rows.join(F.broadcast(ids), "id", "left_semi").select("d", F.explode(_words(F.col("t"))).alias("w"))
     counts = words.groupBy("d", _bucket(F.col("w")).alias("k")).agg(F.count("*").alias("n")).collect()
     domains = sorted({r.d for r in counts})
     if len(domains) > 64:
@@ -57,28 +58,28 @@ def fit_domains(docs: DataFrame, labelled_ids: DataFrame, domain_col: str, id_co
     return domains, [math.log(sum(table[d]) / everything) for d in domains], weights
 
 
-def posteriors(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", temper: float = 0.5) -> DataFrame:
-    """``id, h, copies, tokens, p0 .. p(K-1)``, a row for each distinct (id, hash of text).
+def posteriors(docs: DataFrame, model: tuple, *keep: str, text: str = "text", temper: float = 0.5) -> DataFrame:
+    """Columns ``keep`` of each row, ``h`` (hash of the text), ``tokens`` and ``p0 .. p(K-1)``, in place, without a shuffle.
 
-    Words are summed up within each task before the shuffle, so that a document costs one small row there. The summed log
-    likelihood is divided by words ** ``temper``, as words of one document aren't independent.
+    Each row's words become bucket numbers once; for each domain after the first, the log likelihoods less those of the
+    first are summed over them. The sum is divided by words ** ``temper``, as words of one document aren't independent.
     """
     domains, priors, weights = model
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), F.posexplode(_words(text)).alias("at", "w"))
-    bucket = rows.select("id", "h", "at", (F.col("w") != "").cast("int").alias("real"), _bucket(F.col("w")).alias("k"))
-    # A constant of 4,096 numbers for each domain, parsed once, when the plan is optimised. Sums of doubles depend on their
-    # order; those of whole millionths don't.
-    weight = [F.from_json(F.lit(json.dumps([round(x * 1e6) for x in w])), "array<bigint>") for w in weights]
-    sums = [F.sum(F.when(F.col("real") == 1, F.get(weight[k], F.col("k"))).otherwise(0)).alias(f"l{k}") for k in range(len(domains))]
-    totals = bucket.groupBy("id", "h").agg(F.count_if(F.col("at") == 0).alias("copies"), F.sum("real").alias("tokens"), *sums)
-    per_copy = F.greatest(F.lit(1), F.col("tokens") / F.col("copies"))
-    logit = [F.col(f"l{k}") / 1e6 / F.col("copies") / F.pow(per_copy, F.lit(temper)) + priors[k] for k in range(len(domains))]
-    with_logits = totals.select("id", "h", "copies", "tokens", *(x.alias(f"z{k}") for k, x in enumerate(logit)))
-    top = F.greatest(*(F.col(f"z{k}") for k in range(len(domains)))) if len(domains) > 1 else F.col("z0")
-    powers = with_logits.select("id", "h", "copies", "tokens", *(F.exp(F.col(f"z{k}") - top).alias(f"e{k}") for k in range(len(domains))))
-    whole = reduce(lambda a, b: a + b, (F.col(f"e{k}") for k in range(len(domains))))
-    return powers.select("id", "h", "copies", "tokens", *((F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(domains))))
+    words = docs.select(*keep, F.xxhash64(F.coalesce(text, F.lit(""))).alias("h"), F.transform(_words(F.col(text)), _bucket).alias("k"))
+
+    def summed(d: int) -> Column:
+        # A constant of 4,096 numbers, parsed once, when the plan is optimised. Sums of doubles depend on their order; those
+        # of whole millionths don't.
+        gain = F.from_json(F.lit(json.dumps([round((x - y) * 1e6) for x, y in zip(weights[d], weights[0])])), "array<bigint>")
+        return F.aggregate("k", F.lit(0).cast("long"), lambda total, k: total + F.get(gain, k))
+
+    sums = words.select(*keep, "h", F.size("k").cast("long").alias("tokens"), *(summed(d).alias(f"l{d}") for d in range(1, len(domains))))
+    per_word = F.pow(F.greatest(F.lit(1), "tokens"), F.lit(temper))
+    logits = sums.select(*keep, "h", "tokens", F.lit(0.0).alias("z0"), *((F.col(f"l{d}") / 1e6 / per_word + (priors[d] - priors[0])).alias(f"z{d}") for d in range(1, len(domains))))
+    top = F.greatest(*(F.col(f"z{d}") for d in range(len(domains)))) if len(domains) > 1 else F.col("z0")
+    powers = logits.select(*keep, "h", "tokens", *(F.exp(F.col(f"z{d}") - top).alias(f"e{d}") for d in range(len(domains))))
+    whole = reduce(lambda a, b: a + b, (F.col(f"e{d}") for d in range(len(domains))))
+    return powers.select(*keep, "h", "tokens", *((F.col(f"e{d}") / whole).alias(f"p{d}") for d in range(len(domains))))
 
 
 def fit_rates(members: DataFrame, shares: list[float], lower: float, tolerance: float = 1e-3, max_steps: int = 60) -> DataFrame:
@@ -138,6 +139,22 @@ def fit_rates(members: DataFrame, shares: list[float], lower: float, tolerance:
     return members.withColumn("rate", F.greatest(F.lit(float(lower)), wanted(at)))
 
 
+def _rated(packed_docs: DataFrame, model: tuple, targets: dict[str, float], lower: float, *keep: str, **how) -> DataFrame:
+    """Columns ``keep`` of rows ``id, text``, with ``h, tokens, domains, posterior, rate, copies_out``."""
+    domains = model[0]
+    shares = [max(0.0, targets.get(d, 0.0)) for d in domains]
+    if sum(shares):
+        members = cut(posteriors(packed_docs, model, *keep), "members")
+        rated = fit_rates(members, [s / sum(shares) for s in shares], lower, **how)
+        posterior = F.array(*(F.col(f"p{i}") for i in range(len(domains))))
+    else:
+        domains, posterior = [], F.array().cast("array<double>")
+        rated = packed_docs.select(*keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.size(_words(F.col("text"))).cast("long").alias("tokens"), F.lit(max(1.0, lower)).alias("rate"))
+    chance = F.pmod(F.xxhash64("id", "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    copies_out = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+    return rated.select(*keep, "h", "tokens", F.array(*map(F.lit, domains)).cast("array<string>").alias("domains"), posterior.alias("posterior"), "rate", copies_out.alias("copies_out"))
+
+
 def mix(
     docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
     lower: float = 1.0, max_labelled: int = 20_000, **how,
@@ -146,28 +163,20 @@ def mix(
 
     ``targets``: a share for each domain, scaled to sum to one; a domain without one gets none, and one that no labelled
     document has is left out. ``lower`` bounds the rates from below: at 1 documents are only repeated, never lost; at 0
-    they may go. ``copies_out`` is the rate rounded up or down by a hash of the id, so its mean is the rate. ``h`` is the
-    hash of the text. Null text has no words: its posterior is the prior. Rows that repeat id and text get equal rates.
-    Null ids are ids like others. No labelled document, or no word in all documents: every rate is max(1, lower). An empty
-    table gives no rows. Other columns are not read.
+    they may go. ``copies_out`` is the rate rounded up or down by a hash of the id and the text, so its mean is the rate.
+    ``h`` is the hash of the text. Null text has no words: its posterior is the prior. Rows that repeat id and text get
+    equal rates and copies. Null ids are ids like others. No labelled document, or no word in all documents: every rate is
+    max(1, lower). An empty table gives no rows. Other columns are not read, and their names are free.
     """
     model = fit_domains(docs, labelled_ids, domain_col, id_col, text_col, max_labelled)
-    domains = model[0]
-    shares = [max(0.0, targets.get(d, 0.0)) for d in domains]
-    if not sum(shares):
-        only = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.size(F.filter(_words(F.col(text_col)), lambda w: w != "")).cast("long").alias("tokens"))
-        return only.select("*", F.array().cast("array<string>").alias("domains"), F.array().cast("array<double>").alias("posterior"), F.lit(max(1.0, lower)).alias("rate"), F.lit(int(max(1.0, lower))).cast("long").alias("copies_out"))
-    members = cut(posteriors(docs, model, id_col, text_col), "members")
-    rated = fit_rates(members, [s / sum(shares) for s in shares], lower, **how)
-    chance = F.pmod(F.xxhash64("id", "h", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies_out = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
-    rows = rated.select("id", "h", (F.col("tokens") / F.col("copies")).cast("long").alias("tokens"), F.array(*map(F.lit, domains)).alias("domains"), F.array(*(F.col(f"p{i}") for i in range(len(domains)))).alias("posterior"), "rate", copies_out.alias("copies_out"), "copies")
-    return rows.withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "__again")
+    return _rated(docs.select(named(id_col).alias("id"), named(text_col).alias("text")), model, targets, lower, "id", **how)
 
 
-def apply_mix(docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with each row as often as :func:`mix` says."""
-    rates = mix(docs, labelled_ids, targets, id_col=id_col, text_col=text_col, **how).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("copies_out").alias("__n")).dropDuplicates(["__id", "__h"])
-    keyed = docs.withColumn("__th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    both = keyed.join(rates, keyed[id_col].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__h")))
-    return both.where("__n > 0").withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*docs.columns)
+def apply_mix(
+    docs: DataFrame, labelled_ids: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", text_col: str = "text",
+    lower: float = 1.0, max_labelled: int = 20_000, **how,
+) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix` says: rows are written once with their posterior, and not shuffled."""
+    model = fit_domains(docs, labelled_ids, domain_col, id_col, text_col, max_labelled)
+    rated = _rated(packed(docs, id=named(id_col), text=named(text_col)), model, targets, lower, "row", "id", **how)
+    return rated.select("row", F.explode(F.sequence(F.lit(1), F.when(F.col("copies_out") > 0, F.col("copies_out").cast("int")))).alias("again")).select("row.*")
