@@ -139,7 +139,111 @@ def test_whole_plan(spark):
     texts = " ".join(r.text for r in plan["chunks"].collect())
     assert "My Header" not in texts and "twenty-five" in texts
     assert plan["sections"].select("chapter_source", "title").distinct().count() == 3
-    audio = book.narrate(plan, lambda text, voice, speed: text.encode())
-    assert audio.count() == 3 and audio.first().ms > 0
-    failing = book.synthesise(plan["chunks"].limit(1), lambda *a: b"x")
-    assert failing.first().audio == b"x"
+    for name in ("paragraphs", "chunks", "totals", "warnings"):
+        steps = plan[name]._jdf.queryExecution().sparkPlan().toString()
+        assert steps.count("Scan") < 30, name
+    assert [(r.pages, r.low_text, r.no_chapters) for r in plan["warnings"].collect()] == [(3, False, False)]
+
+
+def _chunks(spark):
+    rows = [(b, s, f"Part {s}", c, f"{b} says {s} {c}") for b in ("A", "B") for s in (1, 2) for c in range(3)]
+    return spark.createDataFrame(rows, "book_id string, section_no int, title string, chunk_no int, text string")
+
+
+def test_narration_speaks_each_chunk_once(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def speak(text, voice, speed):
+        with open(log, "a") as f:
+            f.write(text + "\n")
+        if text == "B says 2 1":
+            raise OSError("no voice")
+        return text.encode()
+
+    monkey = book.with_retries
+    book.with_retries = lambda call, *args: monkey(call, *args, attempts=1)
+    try:
+        got = book.narrate({"chunks": _chunks(spark)}, speak).collect()
+    finally:
+        book.with_retries = monkey
+    calls = log.read_text().split("\n")[:-1]
+    assert len(set(calls)) == 12 and all(calls.count(c) == 1 for c in set(calls) - {"B says 2 1"})
+    assert {(r.book_id, r.section_no, r.status, r.failed, r.audio is None) for r in got} == {("A", 1, "done", 0, False), ("A", 2, "done", 0, False), ("B", 1, "failed", 0, True), ("B", 2, "failed", 1, True)}
+    whole = next(r for r in got if (r.book_id, r.section_no) == ("A", 2))
+    assert bytes(whole.audio) == b"A says 2 0A says 2 1A says 2 2" and whole.ms == int(len(whole.audio) / 8000 * 1000)
+
+
+def test_status_outcome_and_package(spark):
+    narrated = spark.createDataFrame([("A", 1, "One", bytearray(b"x" * 8000), 1000, 0, "done"), ("A", 3, "Three", bytearray(b"y" * 8000), 1000, 0, "done"), ("B", 1, "One", None, None, 2, "failed")], "book_id string, section_no int, title string, audio binary, ms long, failed long, status string")
+    status = book.batch_status(narrated)
+    assert {(r.book_id, r.status, r.chapters, r.failed_chunks, r.ms) for r in status.collect()} == {("A", "done", 2, 0, 2000), ("B", "failed", 1, 2, None)}
+    assert tuple(book.batch_outcome(status).first()) == (1, 1)
+    made = book.package(narrated, "mp3", encoders={"mp3": lambda parts, text: b"".join(parts)}).collect()
+    assert [(r.book_id, r.file_name, len(r.file)) for r in made] == [("A", "A.mp3", 16000)] and "START=1000\nEND=2000\ntitle=Three" in made[0].metadata
+
+
+def test_http_synthesiser(spark):
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body["model"], body["input"], body["voice"], body["response_format"], body["speed"]))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b"sound")
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        speak = book.http_synthesiser(f"http://127.0.0.1:{server.server_port}/v1/")
+        got = book.synthesise(_chunks(spark).limit(1), speak, "af_bella", 1.5).collect()
+    finally:
+        server.shutdown()
+    assert bytes(got[0].audio) == b"sound" and asked == [("/v1/audio/speech", "speaches-ai/Kokoro-82M-v1.0-ONNX", got[0].text, "af_bella", "mp3", 1.5)]
+
+
+def own_chunks(paras, limit):
+    """Narration chunks by the rules, each step on its own: sentences, clauses of long ones, words of long clauses."""
+    import re
+
+    def fill(parts):
+        out = [""]
+        for p in parts:
+            if len(out[-1]) + len(p) + 1 <= limit:
+                out[-1] = (out[-1] + " " + p).strip()
+            else:
+                out.append(p)
+        return [x for x in out if x]
+
+    def pieces(sentence):
+        if len(sentence) <= limit:
+            return [sentence]
+        groups = [[]]
+        for clause in re.split(r"(?<=[,;:–—])\s+", sentence):
+            if len(clause) <= limit:
+                groups[-1].append(clause)
+            else:
+                groups += [clause.split(), []]
+        return [x for g in groups for x in fill(g)]
+
+    return fill(p for para in paras for s in re.split(r"(?<=[.?!])\s+", para) if s.strip() for p in pieces(s.strip()))
+
+
+def test_narration_chunks_of_the_table(spark, sf_dir):
+    """The registered query against the rules, on every document of the smallest tables."""
+    from lectern.queries import QUERIES
+
+    texts = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("source", "doc_id").collect():
+        texts.setdefault(r.source, []).append([x for x in (r.text or "").split("\n") if x.strip(" ")])
+    want = {(b, i + 1): own_chunks(paras, 350) for b, docs in texts.items() for i, paras in enumerate(docs)}
+    got = {(r.book_id, r.section_no): (r.chunks, r.longest, r.chars) for r in QUERIES["narration_chunks"](spark, sf_dir).collect()}
+    assert got == {k: (len(v), max(map(len, v)), sum(map(len, v))) for k, v in want.items() if v}

@@ -67,3 +67,63 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         ingest.ingest_new_books(spark, books, out, check).awaitTermination()
     rows = spark.read.parquet(out).groupBy("book_id").count().collect()
     assert {(r.book_id, r["count"]) for r in rows} == {("a.epub", 5), ("b.epub", 5)}
+
+
+def test_an_outline_from_navigation_alone():
+    import io
+    import zipfile
+
+    made = sinks.epub_bytes("T", "A", "en", [("One", "<h1>One</h1><p>a</p>"), ("Two", "<h1>Two</h1><p>b</p>")])
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(made)) as old, zipfile.ZipFile(out, "w") as new:
+        for name in old.namelist():
+            text = old.read(name)
+            if name.endswith("content.opf"):
+                text = text.replace(b'<item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>', b"")
+            if name.endswith("nav.xhtml"):
+                text = text.replace(b"Two</a></li>", b"Two</a><ol><li><a href=\"chapter_002.xhtml#x\">Two,  a</a></li></ol></li>")
+            if not name.endswith("toc.ncx"):
+                new.writestr(name, text)
+    toc = documents.read_epub(out.getvalue())["toc"]
+    assert [(t["level"], t["title"], t["page"]) for t in toc] == [(1, "One", 1), (1, "Two", 2), (2, "Two, a", 2)]
+
+
+def test_layout_readers(spark):
+    def block(y, x, text):
+        return {"type": 0, "lines": [{"dir": [1.0, 0.0], "bbox": [x, y, x + 100.0, y + 12.0], "spans": [{"text": text, "size": 12.0, "flags": 0, "origin": [x, y + 10.0]}]}]}
+
+    def read(data):
+        if not data:
+            raise ValueError("locked")
+        return [{"page": 0, "ph": 800.0, "blocks": [block(90.0, 72.0, "below"), block(40.0, 300.0, "right"), block(40.0, 72.0, data.decode())]}]
+
+    files = spark.createDataFrame([("/b/A.pdf", bytearray(b"left")), ("/b/B.PDF", bytearray(b"")), ("/b/C.txt", bytearray(b"x"))], "path string, content binary")
+    for sort, want in ((False, ["below", "right", "left"]), (True, ["left", "right", "below"])):
+        pages, errors = documents.decode_layouts(files, {".pdf": read}, sort)
+        assert [r.text for r in spans.lines_from_layout(pages).orderBy("line_no").collect()] == want
+    assert {(r.book_id, r.error) for r in errors.collect()} == {("B.PDF", "ValueError: locked"), ("C.txt", "no reader for this format")}
+
+
+def test_packaged_books_and_files(spark, tmp_path):
+    rows = spark.createDataFrame([("My_Book", 2, bytearray(b"bb")), ("My_Book", 1, bytearray(b"a"))], "book_id string, chapter_no int, audio binary")
+    meta = spark.createDataFrame([("My_Book", ";FFMETADATA1")], "book_id string, metadata string")
+    found = sinks.packaged(rows, meta, "m4b", {"m4b": lambda parts, text: b"|".join(parts) + text.encode()})
+    row = found.first()
+    assert (row.file_name, bytes(row.file)) == ("My_Book.m4b", b"a|bb;FFMETADATA1")
+    assert sinks.write_files(found, f"file://{tmp_path}/out", "file_name", "file") == 1 and (tmp_path / "out" / "My_Book.m4b").read_bytes() == bytes(row.file)
+    assert [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")] == ["My_Book.m4b"]
+    import pytest
+
+    with pytest.raises(ValueError, match="no encoder"):
+        sinks.packaged(rows, meta, "mp3")
+
+
+def test_settings(spark):
+    from lectern.config import settings
+
+    assert settings(spark).service == "http://127.0.0.1:8001/v1" and settings(spark).max_input_chars == 20_000
+    spark.conf.set("spark.lectern.port", "9000")
+    try:
+        assert settings(spark).service == "http://127.0.0.1:9000/v1"
+    finally:
+        spark.conf.unset("spark.lectern.port")

@@ -19,7 +19,7 @@ def one(spark, fn, *values):
     (T.header_key, "Page 12", "page #"), (T.header_key, "page 7 ", "page #"),
     (T.is_page_number, "- 12 -", True), (T.is_page_number, "xiv", True), (T.is_page_number, "12 of 300", True), (T.is_page_number, "civil", True), (T.is_page_number, "chapter", False),
     (T.clean_chars, "a\nb", "ab"), (T.clean_chars, "ﬁx", "fix"), (T.clean_chars, "x²", "x"), (T.clean_chars, "a­b​c  d\te", "abc d e"), (T.clean_chars, "m² (², )³", "m (2, )"),
-    (T.soft_hyphen_tail, "exam­", "exam-"), (T.escape_metadata, "Title\n[CHAPTER]\nSTART=0", "Title [CHAPTER] START\\=0"), (T.escape_metadata, "a=b;c#d\\e", "a\\=b\;c\\#d\\\\e"),
+    (T.soft_hyphen_tail, "exam­", "exam-"), (T.escape_metadata, "Title\n[CHAPTER]\nSTART=0", "Title [CHAPTER] START\\=0"), (T.escape_metadata, "a=b;c#d\\e", "a\\=b\\;c\\#d\\\\e"),
     (T.title_case, "don't stop_now", "Don'T Stop_Now"), (T.display_title, "a_b-c ", "a b c"), (T.speech_url, "http://h/v1/", "http://h/v1/audio/speech"), (T.speech_url, "http://h", "http://h/v1/audio/speech"),
     (T.speech_url, "http://h/x/audio/speech/", "http://h/x/audio/speech"), (T.is_local_endpoint, "http://127.0.0.1:8001/v1", True), (T.is_local_endpoint, "http://gpu-box.example:8001/v1", False), (T.is_local_endpoint, "http://[::1]:8001/v1", True),
     (T.mime_type, "opus", "audio/ogg"), (T.mime_type, "x", "audio/mpeg"), (T.clean_answer, " '/a\\ b' ", "/a b"), (T.ends_sentence, "He said “so.”)  ", True), (T.ends_sentence, "", False), (T.starts_lower, "ªx", True),
