@@ -19,7 +19,7 @@ from .url_tree import judge_urls
 
 
 def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents"), train(spark)).withColumnRenamed("id", "doc_id")
+    return scan(table(spark, sf_dir, "documents"), train(spark, vocabulary())).withColumnRenamed("id", "doc_id")
 
 
 def op2_aho_corasick(spark: SparkSession, sf_dir: str) -> DataFrame:
