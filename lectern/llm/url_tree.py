@@ -11,9 +11,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, cut, named
+from .common import LOWER, UPPER, cut, drop_cut, named
 
 #: Shapes of a segment that is a value rather than a name, most specific first.
 VARIABLE = (
@@ -49,45 +50,66 @@ def _shape(segment: Column) -> Column:
     return reduce(lambda rest, kind: F.when(stem.rlike(kind[1]), F.concat(F.lit(kind[0]), tail)).otherwise(rest), reversed(VARIABLE), segment)
 
 
-def template_tree(paths: DataFrame, max_children: int = 50, min_labels: int = 20, z_merge: float = 1.96, depth: int = 8) -> DataFrame:
+def _kind(segment: Column) -> Column:
+    """What a segment looks like: a wildcard, a name, or the end of the path."""
+    return F.when(segment.isNull(), "").when(segment.startswith("{"), segment).otherwise("name")
+
+
+def template_tree(paths: DataFrame, min_labels: int = 20, z_merge: float = 1.96, open_share: float = 0.1, rare_share: float = 0.02) -> DataFrame:
     """Templates of ``paths(host, raw array<string>, n, labelled, bad)``, one row for each (host, raw): with ``template``.
 
-    From the root down, at each level: a parent with more than ``max_children`` children has its literal children turned
-    into ``{any}``; literal children whose rate of bad labels doesn't differ from that of their siblings (two-proportion z
-    below ``z_merge``, at least ``min_labels`` labels on both sides) are merged into ``{like}``. Segments beyond ``depth``
-    are one ``{rest}``. Each level aggregates a row per (host, template) and child, so a hot host costs no more than others.
+    From the root down, two things happen to the literal children of a parent, both by statistics of its pages. Where the
+    chance that a page has a child not seen before (children with one page, over pages: Good-Turing) is ``open_share`` or
+    more, on ``min_labels`` pages or more, the rare children, of up to ``rare_share`` of the pages, are values rather than
+    names and become ``{any}``. Children with ``min_labels`` labels or more whose next segments look alike are put in order
+    of their rate of bad labels, and neighbours whose rates don't differ (two-proportion z up to ``z_merge``) are merged into
+    one branch, ``{like:first of them}``. Levels are gone through as long as some branch has pages enough for either; below
+    that nothing can change, and what is left of a path is its own template. Each level aggregates a row per (host,
+    template) and child, so a hot host costs no more than others.
     """
-    tree = paths.withColumn("template", F.lit("")).withColumn(
-        "raw_key", F.array_join("raw", "/")).withColumn("segs", F.when(F.size("raw") > depth, F.concat(F.slice("raw", 1, depth), F.array(F.lit("{rest}")))).otherwise(F.col("raw")))
-    deepest = tree.agg(F.max(F.size("segs"))).first()[0] or 0
-    for level in range(deepest):
-        tree = tree.withColumn("child", F.get("segs", F.lit(level)))
-        child = tree.where("child is not null").groupBy("host", "template", "child").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        parent = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-        both = child.join(parent, ["host", "template"])
-        rest_l, rest_b, rate = F.col("pl") - F.col("l"), F.col("pb") - F.col("b"), F.col("pb") / F.col("pl")
-        gap = F.abs(F.col("b") / F.col("l") - rest_b / rest_l)
-        spread = F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / rest_l))
-        alike = (F.col("l") >= min_labels) & (rest_l >= min_labels)
-        literal = ~F.col("child").startswith("{")
-        token = F.when(literal & (F.col("children") > max_children), "{any}").when(literal & F.when(alike, gap <= z_merge * spread).otherwise(False), "{like}").otherwise(F.col("child"))
-        step = both.select("host", "template", "child", token.alias("token"))
-        tree = cut(
-            tree.join(step, ["host", "template", "child"], "left")
-            .withColumn("template", F.when(F.col("token").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "token")))
-            .drop("token", "child"), "tree")
-    return tree.drop("segs", "raw")
-
-
-def borrowed_evidence(tree: DataFrame, least: int = 20, depth: int = 8) -> DataFrame:
+    tree = paths.withColumns({"template": F.lit(""), "raw_key": F.array_join("raw", "/")})
+    level = 0
+    while True:
+        tree = tree.withColumns({"child": F.get("raw", F.lit(level)), "kind": _kind(F.get("raw", F.lit(level + 1)))})
+        shapes = tree.where("child is not null").groupBy("host", "template", "child", "kind").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        child = shapes.groupBy("host", "template", "child").agg(F.sum("n").alias("n"), F.sum("l").alias("l"), F.sum("b").alias("b"), F.max_by("kind", F.struct("n", "kind")).alias("kind"))
+        parent = child.groupBy("host", "template").agg(F.sum("n").alias("pages"), F.sum("l").alias("labels"), F.count_if(F.col("n") == 1).alias("single"))
+        enough = parent.where((F.col("pages") >= min_labels) & ((F.col("single") >= open_share * F.col("pages")) | (F.col("labels") >= 2 * min_labels)))
+        names = cut(child.where(~F.col("child").startswith("{")).join(enough, ["host", "template"]), "names")
+        go_on = names.limit(1).count() or tree.where("child is not null").groupBy("host", "template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_labels).limit(1).count()
+        if not go_on:
+            drop_cut(names)
+            break
+        opened = (F.col("single") >= open_share * F.col("pages")) & (F.col("n") <= F.greatest(F.lit(1), rare_share * F.col("pages")))
+        marked = names.withColumn("opened", opened)
+        # neighbours by rate, among branches of one shape
+        row = W.partitionBy("host", "template", "kind").orderBy(F.col("b") / F.col("l"), "child")
+        known = marked.where(~F.col("opened") & (F.col("l") >= min_labels)).withColumns({"l0": F.lag("l").over(row), "b0": F.lag("b").over(row)})
+        rate = (F.col("b") + F.col("b0")) / (F.col("l") + F.col("l0"))
+        apart = F.abs(F.col("b") / F.col("l") - F.col("b0") / F.col("l0")) > z_merge * F.sqrt(rate * (1 - rate) * (1 / F.col("l") + 1 / F.col("l0")))
+        run = known.withColumn("run", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(row.rowsBetween(W.unboundedPreceding, 0)))
+        whole = W.partitionBy("host", "template", "kind", "run")
+        liked = run.withColumns({"size": F.count("*").over(whole), "head": F.min("child").over(whole)}).where("size > 1")
+        token = liked.select("host", "template", "child", F.concat(F.lit("{like:"), "head", F.lit("}")).alias("token")).union(marked.where("opened").select("host", "template", "child", F.lit("{any}")))
+        stepped = tree.join(token, ["host", "template", "child"], "left")
+        longer = F.concat("template", F.lit("/"), F.coalesce("token", "child"))
+        new = cut(stepped.withColumn("template", F.when(F.col("child").isNull(), F.col("template")).otherwise(longer)).drop("token", "child", "kind"), "tree")
+        drop_cut(names, *([tree] if level else []))
+        tree = new
+        level += 1
+    rest = F.slice("raw", level + 1, F.greatest(F.size("raw") - level, F.lit(0)))
+    return tree.withColumn("template", F.concat("template", F.array_join(F.transform(rest, lambda x: F.concat(F.lit("/"), x)), ""))).drop("child", "kind", "raw")
+
+
+def borrowed_evidence(tree: DataFrame, least: int = 20) -> DataFrame:
     """``host, raw_key, evidence, l, b`` for rows of :func:`template_tree` whose (host, template) has no label.
 
     From the longest prefix of the path down to its first segment, labels come from the host's own templates below that
     prefix (``parent``), else from all hosts' paths below it (``hosts``), where there are ``least`` or more. A whole host's
-    labels are not evidence for a section that has none, nor are those of all pages.
+    labels are not evidence for a section that has none, nor are those of all pages. Prefixes are told by a hash.
     """
     def prefixes(parts: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(depth + 1))), lambda d: F.struct(d.alias("d"), F.array_join(F.slice(parts, F.lit(1), d), "/").alias("at")))
+        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda d: F.struct(d.alias("d"), F.xxhash64(F.slice(parts, F.lit(1), d)).alias("at")))
 
     parts = {"own": F.split(F.substring("template", 2, 1 << 30), "/"), "raw": F.split("raw_key", "/")}
     known, asked = tree.where("labelled > 0 and raw_key <> ''"), tree.join(
@@ -130,7 +152,7 @@ def judge_urls(
     totals = leaf.agg(F.sum("labelled"), F.sum("bad")).first()
     rate = (totals[1] or 0) / (totals[0] or 1)
     own = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    borrowed = borrowed_evidence(tree, depth=tree_options.get("depth", 8))
+    borrowed = borrowed_evidence(tree)
     both = tree.select("host", "raw_key", "template").join(own, ["host", "template"]).join(borrowed, ["host", "raw_key"], "left")
     labelled, bad = F.col("labelled") + F.coalesce("l", F.lit(0)), F.col("bad") + F.coalesce("b", F.lit(0))
     known = both.select("host", "raw_key", "template", ((bad + smoothing * rate) / (labelled + smoothing)).alias("purity"), F.when(F.col("labelled") > 0, "own").otherwise(F.col("evidence")).alias("evidence"))
