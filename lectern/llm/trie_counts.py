@@ -22,7 +22,11 @@ FALLBACK = 10.0  # a byte of a character without piece scores this much below th
 
 
 def unigram_scores(pieces: list[str]) -> dict[str, float]:
-    """Log probabilities of ``pieces``, most frequent first, by Zipf's law: p(rank) ~ 1 / (rank + 2)."""
+    """Log probabilities of ``pieces``, most frequent first, by Zipf's law: p(rank) ~ 1 / (rank + 2).
+
+    The public vocabulary files have ranks but no unigram probabilities, and fitting these to a corpus would be training a
+    tokenizer. So the law stands for them; give :class:`Trie` the scores of a unigram vocabulary where there is one.
+    """
     total = math.log(sum(1 / (r + 2) for r in range(len(pieces))))
     return {p: -math.log(r + 2) - total for r, p in enumerate(pieces)}
 
@@ -38,7 +42,12 @@ def ranked_pieces(path: str) -> list[str]:
 
 
 class Trie:
-    """Forward scores of prefixes; emptied at ``room`` nodes or words, so memory is bounded whatever the corpus."""
+    """Forward scores of prefixes; emptied at ``room`` nodes or words, so memory is bounded whatever the corpus.
+
+    A word of over ``LONG`` characters shares no prefix worth keeping: it is gone through with the last few scores alone.
+    """
+
+    LONG = 256
 
     def __init__(self, scores: dict[str, float], room: int = 600_000):
         self.scores, self.room = scores, room
@@ -53,6 +62,8 @@ class Trie:
 
     def count(self, word: str) -> int:
         """Pieces of the best segmentation of ``MARK + word``; of equal scores, the one with fewer pieces."""
+        if len(word) > self.LONG:
+            return self._count_long(MARK + word)
         if len(self.score) > self.room or len(self.known) > self.room // 2:
             self.clear()
         word_in = word
@@ -82,6 +93,23 @@ class Trie:
             self.known[word_in] = found
         return found
 
+    def _count_long(self, word: str) -> int:
+        """The same recurrence over a ring of as many prefixes as the longest piece reaches back."""
+        ring, get = self.longest + 1, self.scores.get
+        score, pieces = [0.0] * ring, [0] * ring
+        for depth, c in enumerate(word, 1):
+            size = len(c.encode("utf-8", "surrogatepass"))
+            before = (depth - 1) % ring
+            best, least = score[before] + size * self.floor, pieces[before] + size
+            for start in range(max(0, depth - self.longest), depth):
+                s = get(word[start:depth])
+                if s is not None:
+                    total = score[start % ring] + s
+                    if total > best or total == best and pieces[start % ring] + 1 < least:
+                        best, least = total, pieces[start % ring] + 1
+            score[depth % ring], pieces[depth % ring] = best, least
+        return pieces[len(word) % ring]
+
     def count_text(self, text: str | None) -> tuple[int, int]:
         """Pre-tokens (between white space) and pieces of a whole text."""
         words = (text or "").split()
