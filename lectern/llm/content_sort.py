@@ -18,12 +18,12 @@ from .common import ascii_lower, cut, named, packed
 
 def content_sort(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest",
-    normalise: Callable[[Column], Column] = ascii_lower, hot_share: float = 1 / 5000, hot_rows: int = 256, salts: int = 64,
+    normalise: Callable[[Column], Column] = ascii_lower, hot_share: float = 1 / 5000, hot_rows: int = 256, rows_a_salt: int = 200_000,
 ) -> DataFrame:
     """One row per input row: ``id, keep_id, group_size, kept, text_sha256``.
 
     A text that makes up ``hot_share`` of all rows (and at least ``hot_rows``) is sorted on (text, salt), so its run is
-    cut over up to ``salts`` ranges; the runs' partial results are merged by an aggregate that combines before its
+    cut over ranges, more with more rows; the runs' partial results are merged by an aggregate that combines before its
     shuffle. At most ``1 / hot_share`` texts can be hot, which bounds the list of their hashes and the broadcast of their
     merged rows. Finding them costs one pass that shuffles a hash and a count for each distinct text of a task.
 
@@ -41,6 +41,7 @@ def content_sort(
     floor = max(hot_rows, int(total * hot_share))
     hot = [r.h for r in counts.where(F.col("n") >= floor).select("h").collect()]
     is_hot = F.xxhash64("norm").isin(hot) if hot else F.lit(False)
+    salts = max(64, total // rows_a_salt)  # were all rows of one text, a run would have some rows_a_salt of them
     salt = F.when(is_hot, F.pmod(F.xxhash64("id"), F.lit(salts)) + 1).otherwise(F.lit(0))
     # The sampled keys go to the driver, so they are short: the first bytes, and a hash that parts texts which share them.
     dealt = rows.withColumns({"head": F.substring(F.col("norm").cast("binary"), 1, 24), "h": F.xxhash64("norm"), "salt": salt})
