@@ -7,12 +7,15 @@ folder, so a lost executor costs only the tasks that it ran.
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +70,21 @@ def drop_cut(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans that are done with: Spark deletes their shuffle files once the driver has collected them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+#: Up to so many small rows are broadcast, where their number has been counted.
+FEW = 200_000
+
+
+def if_few(rows: DataFrame) -> DataFrame:
+    """``rows`` marked for a broadcast if they have been counted and are few; else as they are, to be shuffled."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 @atexit.register
 def _sweep() -> None:
     for spark, path in _written:
@@ -112,16 +130,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def smallest_reachable(nodes: DataFrame, links: DataFrame, max_rounds: int = 60) -> DataFrame:
+#: Up to so many links, where they have been counted, are gone through by one task: 16 MB, in arrays.
+ONE_TASK = 500_000
+
+
+def _least_of_component(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, root`` of links ``u, v``, by labels that are pulled down over links and then over labels."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for side in (a, b):
+            np.minimum.at(new, side, low)
+            np.minimum.at(new, label[side], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "root"])
+
+
+def smallest_reachable(nodes: DataFrame, links: DataFrame, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """Connected components: ``nodes(node)`` and undirected ``links(a, b)`` give ``(node, root)``, root the least node reachable.
 
     Alternates large-star and small-star steps. Each keeps every component connected and hangs it ever more directly on
     its least node, so the number of rounds grows with the logarithm of the longest chain, and a round costs one or two
     shuffles of the links. Links are never collected; a hub's links meet only in ``min`` (combined before the shuffle)
-    and in a join that AQE may split.
+    and in a join that AQE may split. Up to ``one_task`` links of long nodes are gone through by one task instead, with the
+    same result.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     size = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    if 0 < size[0] <= one_task and dict(edges.dtypes)["u"] == "bigint":
+        roots = edges.select("u", "v").coalesce(1).mapInArrow(_least_of_component, "node long, root long")
+        return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     for _ in range(max_rounds):
         if not size[0]:
             break

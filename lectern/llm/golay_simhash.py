@@ -5,6 +5,10 @@ code (23, 12). Two fingerprints with at most two differing bits agree in full on
 the next segment differs in two bits at most. A word's fuzzy keys are the codewords to which it and its 23 neighbours
 decode: one, or six when it lies on the edge of a sphere. Two words at distance two have a common neighbour and so a
 common key. The join key is (which segment, its bits, a fuzzy key of the next one): 34 bits.
+
+Documents with a given share of equal shingles differ in far more bits. For these, :func:`similar_groups` takes 128 bits:
+five whole words of the code, of which one has an error in five at most of all (pigeonhole), and with each the remaining
+bits in seven runs of 15; candidates are verified by the Jaccard similarity of the texts' shingles.
 """
 
 from __future__ import annotations
@@ -18,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, smallest_reachable
+from .buckets import connected
+from .common import cut, if_few, named, packed, release, smallest_reachable
 
 SEED = 42
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, width)
@@ -141,7 +146,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like others. Null ids are passed over for ``component_id`` unless the whole group has none. Repeated rows stay apart
     in the result. Other columns are not read. An empty table gives no rows.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle).alias("fp")), "prints")
+    rows = cut(docs.select(named(id_col).alias("id"), fingerprint_column(named(text_col), shingle).alias("fp")), "prints")
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-prints")
     found = cut(links(prints, bucket_max), "links")
     touched = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
@@ -152,7 +157,119 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(of_print, "fp").select("id", "fp", "component_id")
 
 
+WORDS, EXACT = 5, 15  # whole Golay words of a wide fingerprint, bits that must agree beside one
+
+
+def text_words(text: str | None) -> list[bytes]:
+    """A-Z lower-cased, between ASCII white space."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def wide_fingerprint(words: list[bytes], shingle: int = 2) -> bytes:
+    """128-bit SimHash of word shingles; fewer words: of the whole sequence; none: zero."""
+    if not words:
+        return bytes(16)
+    grams = [b" ".join(words)] if len(words) < shingle else list(map(b" ".join, zip(*(words[i:] for i in range(shingle)))))
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(grams), 1 << 14):
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, grams[i : i + (1 << 14)])), np.uint8).reshape(-1, 16)
+        ones += np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(grams)).tobytes()
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of every join key of fingerprints given as rows of 16 bytes: which word, which run, its bits, a fuzzy key."""
+    bits = np.unpackbits(prints, axis=1).astype(np.int64)
+    rows, keys = [], []
+    for i in range(WORDS):
+        near = fuzzy_keys(bits[:, 23 * i : 23 * i + 23] @ (1 << np.arange(23)))
+        row, column = np.nonzero(near >= 0)
+        rest = np.delete(bits, np.s_[23 * i : 23 * i + 23], axis=1)
+        for j in range(rest.shape[1] // EXACT):
+            exact = rest[:, EXACT * j : EXACT * (j + 1)] @ (1 << np.arange(EXACT))
+            rows.append(row)
+            keys.append(np.int64(i * 8 + j) << 40 | exact[row] << 12 | near[row, column])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _emit_wide_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node, f1, f2 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)
+        for i in range(0, len(node), 1024):
+            part = slice(i, i + 1024)
+            row, key = wide_keys(np.stack([f1[part], f2[part]], axis=1).astype("<i8").view(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[part][row]) for c in (node, f1, f2))], ["key", "node", "f1", "f2"])
+
+
+def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 512):
+            part = batch.slice(i, 512)
+            found = bytearray()
+            for text in part.column(1):
+                words = text_words(text.as_py())
+                found += xxhash.xxh3_128_digest(b" ".join(words)) + wide_fingerprint(words)
+            four = np.frombuffer(bytes(found), "<i8").reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(np.ascontiguousarray(four[:, k])) for k in range(4))], ["id", "x", "h1", "h2", "f1", "f2"])
+
+
+def jaccard(a: set, b: set) -> float:
+    """Of two sets; of two empty ones 1."""
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+def shingles(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    words = text_words(text)
+    return set(zip(*(words[i:] for i in range(size)))) if len(words) >= size else {tuple(words)} if words else set()
+
+
+def similar_column(a: Column, b: Column, shingle: int, least: float) -> Column:
+    """Whether the texts' shingle sets have a Jaccard similarity of ``least`` or more."""
+
+    @F.arrow_udf("boolean")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        sets = lru_cache(8)(lambda t: shingles(t, shingle))  # the middle of a family comes again and again
+        for left, right in batches:
+            yield pa.array([jaccard(sets(x.as_py()), sets(y.as_py())) >= least for x, y in zip(left, right)], pa.bool_())
+
+    return of(a, b)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
+    """One row per input row: ``id, component_id``, the smallest id reachable over links.
+
+    Two texts link if the Jaccard similarity of their sets of ``shingle``-word shingles is ``least`` or more. Candidates
+    share a fuzzy key of 128-bit fingerprints (of two-word shingles, which a changed word disturbs less) and differ in
+    ``radius`` bits at most; texts of equal words are one node. The similarity is exact; that a similar pair shares a key
+    is likely, not sure. Measured against all pairs: see the README.
+
+    Null and blank texts have no words and are alike. Null ids are passed over for ``component_id`` unless the whole group
+    has none. Repeated rows stay apart in the result. Other columns are not read. An empty table gives no rows.
+    """
+    kind = dict(docs.dtypes)[id_col]
+    raw = docs.select(named(id_col).alias("id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("x"))
+    rows = cut(raw.mapInArrow(_prints, f"id {kind}, x long, h1 long, h2 long, f1 long, f2 long"), "prints")
+    nodes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.min(F.struct("id", "x")).alias("one"), F.min("f1").alias("f1"), F.min("f2").alias("f2")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    release(docs.sparkSession)
+    keys = nodes.select("node", "f1", "f2").mapInArrow(_emit_wide_keys, "key long, node long, f1 long, f2 long")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        one = nodes.join(wanted, "node").select("node", F.col("one.id").alias("one_id"), F.col("one.x").alias("one_x"))
+        found = raw.join(if_few(cut(one, "one")), raw["id"].eqNullSafe(F.col("one_id")) & (raw["x"] == F.col("one_x")))
+        return cut(found.select("node", "text").dropDuplicates(["node"]), "texts")
+
+    def near(a: str, b: str) -> Column:
+        return F.bit_count(F.col(f"{a}f1").bitwiseXOR(F.col(f"{b}f1"))) + F.bit_count(F.col(f"{a}f2").bitwiseXOR(F.col(f"{b}f2"))) <= radius
+
+    roots = connected(keys, near, texts_of, lambda a, b: similar_column(a, b, shingle, least))
+    group = nodes.select("node", "h1", "h2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = group.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "h1", "h2").join(group.join(smallest, "root").select("h1", "h2", "component_id"), ["h1", "h2"]).select("id", "component_id")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document, the one with the smallest id, of each group; rows without an id stay."""
-    gone = near_groups(docs, id_col, text_col, **how).where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document, the one with the smallest id, of each group of :func:`similar_groups`; rows without an id
+    stay."""
+    gone = similar_groups(docs, id_col, text_col, **how).where("id <> component_id").select("id").distinct()
+    return packed(docs, id=named(id_col)).join(gone, "id", "left_anti").select("row.*")
