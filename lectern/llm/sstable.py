@@ -18,7 +18,9 @@ from __future__ import annotations
 import bisect
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, scratch_path
+from .common import cut, kept_by_worker, named, scratch_path
 
 MAGIC = b"LECSST01"
 #: index offset, index length, filter offset, filter length, documents, ids, shard number, bytes per id, magic
@@ -195,31 +197,46 @@ class WordEncoder:
 
     White space ends every pre-token of this tokenizer and nothing composes across it, so the ids of a text are those of
     its chunks in order. A plain chunk's pre-tokens go straight to the library's model; any other chunk goes through the
-    whole tokenizer. The caches are emptied at ``room`` entries, so memory is bounded whatever the vocabulary.
+    whole tokenizer. The two caches together are emptied when they hold ``room`` bytes, counted with ``ENTRY`` bytes of
+    overhead each, and a chunk of over ``LONG`` characters is never kept: memory is bounded whatever the texts are.
     """
 
-    def __init__(self, path: str, room: int = 300_000):
+    ENTRY, LONG = 200, 64
+
+    def __init__(self, path: str, room: int = 128 << 20):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         self.width = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
-        self.letters, self.room = _byte_letters(), room
+        self.kind = {2: "H", 4: "I"}[self.width]
+        self.letters, self.room, self.held = _byte_letters(), room, 0
         self.chunks: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
     def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
+        packed = array(self.kind, ids)
+        if sys.byteorder != "little":
+            packed.byteswap()
+        return packed.tobytes()
+
+    def _keep(self, cache: dict[str, bytes], text: str, found: bytes) -> bytes:
+        if len(text) <= self.LONG:
+            self.held += self.ENTRY + len(text) + len(found)
+            if self.held > self.room:
+                self.chunks.clear()
+                self.parts.clear()
+                self.held = 0
+            cache[text] = found
+        return found
 
     def _part(self, part: str) -> bytes:
         if not part:
             return b""
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= self.room:
-                self.parts.clear()
             mapped = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
-            found = self.parts[part] = self._pack([t.id for t in self.model.tokenize(mapped)])
+            found = self._keep(self.parts, part, self._pack([t.id for t in self.model.tokenize(mapped)]))
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -227,10 +244,7 @@ class WordEncoder:
             found = self._part(m[1].lower()) + self._part(m[2])
         else:
             found = self._pack(self.whole.encode(chunk, add_special_tokens=False).ids)
-        if len(self.chunks) >= self.room:
-            self.chunks.clear()
-        self.chunks[chunk] = found
-        return found
+        return self._keep(self.chunks, chunk, found)
 
     def encode(self, text: str | None, end: int | None = None) -> bytes:
         """Little-endian ids of ``text``, ``end`` appended."""
@@ -241,38 +255,26 @@ class WordEncoder:
         return b"".join(ids)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
-    """Each Python worker loads a tokenizer once."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
-
-
 def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end: int | None = 2, shard_bytes: int = 32 << 20, block_bytes: int = 64 << 10) -> None:
     """Encode every whole text and write shards of about ``shard_bytes`` of text, in ascending order of id, to ``path``.
 
     Splitters are sampled on (id, hash of text), so that rows which share one id spread over several shards. Null text:
     as empty. Null ids come first. Repeated ids keep all their rows, ordered by text. An empty table gives no shard.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
+    rows = docs.select(named(id_col).cast("long").alias("id"), F.coalesce(named(text_col), F.lit("")).alias("text"), F.xxhash64(named(text_col)).alias("h"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-total // shard_bytes))
 
     def sections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = kept_by_worker(("encoder", tokenizer), lambda: WordEncoder(tokenizer))
+        section = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["section"])
         writer = None
         for batch in batches:
-            out = []
             for ident, text in zip(batch.column(0), batch.column(1)):
                 writer = writer or ShardWriter(TaskContext.get().partitionId(), own.width, block_bytes)
-                out.extend(writer.add(ident.as_py(), own.encode(text.as_py(), end)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["section"])
+                yield from map(section, writer.add(ident.as_py(), own.encode(text.as_py(), end)))
         if writer:
-            yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], ["section"])
+            yield from map(section, writer.finish())
 
     order = [F.col("id").asc_nulls_first(), F.col("h").asc()]
     dealt = rows.repartitionByRange(count, *order).sortWithinPartitions(*order, "text").select("id", "text")
@@ -296,7 +298,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
     """One row per stored document: ``id, start, n_tokens, ids_crc32, shard``. ``start``: ids of all documents before it.
 
-    Only the shards' totals meet in one place, to be summed up.
+    Only the shards' totals meet in one place, to be summed up: a row a shard. A null id, and each row of a repeated id, has a
+    row of its own, in the order of :func:`write_shards`; no shard gives no row.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     rows = cut(files.mapInArrow(_read, "shard long, id long, local_start long, n_tokens long, ids_crc32 long"), "entries")
@@ -306,7 +309,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str, path: str | None = None, **how) -> DataFrame:
-    """Write shards to ``path`` (a scratch folder if not given) and read them back."""
+    """Write shards to ``path`` (a scratch folder if not given) and read them back: a row for each row of ``docs``, nulls,
+    empty texts and repeated ids as :func:`write_shards` says. Other columns are not read."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "shards")
     write_shards(docs, path, tokenizer, **how)
