@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lectern.llm import content_sort, fuzzy_lines, golay_simhash
+from lectern.llm import buckets, content_sort, fuzzy_lines, golay_simhash
 from lectern.llm.common import smallest_reachable
 from lectern.llm.queries import QUERIES
 
@@ -114,13 +114,25 @@ def test_links_connect_like_all_pairs(spark, bucket_max):
     assert [got[s] for s in signed] == [signed[w] for w in want]
 
 
-def test_long_chain(spark):
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_long_chain(spark, one_task):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     nodes = spark.range(302).withColumnRenamed("id", "node")
-    got = {r.node: r.root for r in smallest_reachable(nodes, links).collect()}
+    got = {r.node: r.root for r in smallest_reachable(nodes, links, one_task=one_task).collect()}
     assert got == {i: 0 for i in range(301)} | {301: 301}
 
 
+@pytest.mark.parametrize("one_task", [0, 10_000])
+def test_components_against_union_find(spark, one_task):
+    r = random.Random(8)
+    pairs = [(r.randrange(400) - 200, r.randrange(400) - 200) for _ in range(260)]
+    linked = {frozenset(p) for p in pairs}
+    want = components(400, lambda a, b: frozenset((a - 200, b - 200)) in linked)
+    nodes = spark.range(-200, 200).withColumnRenamed("id", "node")
+    got = {x.node: x.root for x in smallest_reachable(nodes, spark.createDataFrame(pairs, "a long, b long"), one_task=one_task).collect()}
+    assert [got[k - 200] for k in range(400)] == [w - 200 for w in want]
+
+
 def test_near_groups_cases(spark):
     rows = [(7, "a b c d"), (3, "A  b\nc d"), (9, None), (8, " "), (None, "a b c d"), (None, "only here it is"), (3, "a b c d")]
     got = sorted(str((r.id, r.component_id)) for r in golay_simhash.near_groups(docs(spark, rows)).collect())
@@ -137,6 +149,60 @@ def test_op7_against_all_pairs(spark, sf_dir):
     assert got == {r.doc_id: (f"{p:016x}", rows[k].doc_id) for r, p, k in zip(rows, prints, roots)}
 
 
+def brute_shingles(text, size=5):
+    words = [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in lower(text)).split(" ") if w]
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def brute_similar(texts, least=0.8):
+    sets = [brute_shingles(t) for t in texts]
+    return components(len(texts), lambda a, b: (len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])))
+
+
+def edited(r, words, n):
+    words = list(words)
+    for _ in range(n):
+        words[r.randrange(len(words))] = f"new{r.randint(0, 10**6)}"
+    return words
+
+
+@pytest.mark.parametrize("crowd", [False, True])
+def test_similar_groups_against_all_pairs(spark, crowd, monkeypatch):
+    """Copies with a few words changed, each like its original and seldom like the other copies; the rest are strangers."""
+    if crowd:  # every bucket counts as a crowded one
+        monkeypatch.setattr(golay_simhash, "connected", lambda *a: buckets.connected(*a, small=2, rounds=2))
+    r = random.Random(4)
+    rows = []
+    for family in range(8):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.randint(100, 300))]
+        rows.append(" ".join(base))
+        rows += [" ".join(edited(r, base, r.randint(1, len(base) // 60 + 1))) for _ in range(12)]
+        rows += [" ".join(edited(r, base, len(base) // 8)) for _ in range(3)]  # alike, but below 0.8
+    rows += ["", None, " \n", "one", "ONE", "one two", *(" ".join(f"w{r.randint(0, 400)}" for _ in range(50)) for _ in range(20))]
+    order = list(range(len(rows)))
+    r.shuffle(order)
+    rows = [rows[k] for k in order]
+    want = brute_similar(rows)
+    got = {x.id: x.component_id for x in golay_simhash.similar_groups(docs(spark, list(enumerate(rows)))).collect()}
+    assert all(want[got[i]] == want[i] for i in got)  # never together without a chain of links
+    linked = [i for i in range(len(rows)) if want[i] != i]
+    assert len(linked) > 80 and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+
+
+def test_similar_groups_cases(spark):
+    rows = [(7, "a b c d"), (3, "A  b\nc d"), (9, None), (8, " "), (None, "a b c d"), (None, "only here it is"), (3, "a b c d"), (3, "another text"), (2, "x " * 30_000), (4, "x " * 30_001)]
+    got = sorted(str((r.id, r.component_id)) for r in golay_simhash.similar_groups(docs(spark, rows)).collect())
+    assert got == sorted(str(x) for x in [(7, 3), (3, 3), (9, 8), (8, 8), (None, 3), (None, None), (3, 3), (3, 3), (2, 2), (4, 2)])
+    assert golay_simhash.similar_groups(docs(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("names", [("row", "ID"), ("a.b", "component_id"), ("Key", "node"), ("__gone", "back`tick")])
+def test_drops_with_any_names(spark, names):
+    df = spark.createDataFrame([(1, "same text", 5, 6), (2, "Same  text", 7, 8), (3, "other", 9, 0)], ["doc_id", "text", *names])
+    for left in (golay_simhash.drop_near_copies(df), content_sort.drop_copies(spark.createDataFrame([(1, "t", 5, 6), (2, "T", 7, 8), (3, "other", 9, 0)], df.schema))):
+        assert left.columns == df.columns and sorted(tuple(r)[2:] for r in left.collect()) == [(5, 6), (9, 0)]
+
+
 def plain_distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -153,29 +219,52 @@ def test_edit_distance(a, b, most):
 
 
 def brute_lines(rows, least=0.8):
-    """(id, line number) that go: all pairs of distinct lines are tried."""
+    """Groups of (id, line number) and, for each distinct line, that of all pairs tried by edit similarity alone."""
     at = {}
     for i, t in rows:
         for n, line in enumerate((t or "").split("\n")):
-            if line := fuzzy_lines.normalise(line):
+            if line := fuzzy_lines.normalise(line).decode():
                 at.setdefault(line, []).append((i, n))
     lines = sorted(at)
-    sims = [int(s) for s in fuzzy_lines.simhashes(lines, {})]
-    blocks = [[s >> 16 * k & 0xFFFF for k in range(4)] for s in sims]
-    linked = lambda a, b: sum(x == y for x, y in zip(blocks[a], blocks[b])) >= 2 and 1 - plain_distance(lines[a], lines[b]) / max(len(lines[a]), len(lines[b])) >= least - 1e-9
-    roots, gone, group = components(len(lines), linked), [], {}
-    for line, root in zip(lines, roots):
-        group.setdefault(root, []).extend(at[line])
-    for spots in group.values():
-        gone += [s for s in spots if s != min(spots)]
-    return sorted(gone)
+
+    codes = {c: i for i, c in enumerate(sorted(set("".join(lines))))}
+    counts = np.zeros((len(lines), len(codes) + 1), np.int32)
+    for k, x in enumerate(lines):
+        np.add.at(counts[k], [codes[c] for c in x], 1)
+    sizes = counts.sum(axis=1)
+    # the distance is what one line has more of each character than the other, at least
+    maybe = np.zeros((len(lines), len(lines)), bool)
+    for k in range(len(lines)):
+        gap = counts[:k] - counts[k]
+        maybe[k, :k] = np.maximum(np.maximum(gap, 0).sum(axis=1), np.maximum(-gap, 0).sum(axis=1)) <= (1 - least) * np.maximum(sizes[:k], sizes[k]) + 1e-9
+
+    def linked(a, b):
+        return bool(maybe[a, b]) and fuzzy_lines.similar(lines[a], lines[b], least)
+
+    return [at[x] for x in lines], components(len(lines), linked)
+
+
+def check_lines(spark, rows, least_recall, least_links):
+    """What is kept is a true group's first; groups are never joined without links; most that should go do."""
+    spots, roots = brute_lines(rows)
+    group = {spot: root for own, root in zip(spots, roots) for spot in own}
+    members = {}
+    for spot, root in group.items():
+        members.setdefault(root, []).append(spot)
+    want = {s for own in members.values() for s in own if s != min(own)}
+    found = fuzzy_lines.dropped_lines(docs(spark, rows)).collect()
+    gone = {(x.id, n) for x in found for n in x.dropped}
+    copies = {s for own in spots for s in own if s != min(own)}
+    assert copies <= gone <= want, "equal lines all go, and no line goes that is alone"
+    assert len(want - copies) >= least_links and len(gone - copies) >= least_recall * len(want - copies), (len(gone - copies), len(want - copies))
+    return found
 
 
 def test_fuzzy_lines(spark):
     r = random.Random(3)
     base = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "eps"]) + str(r.randint(0, 30)) for _ in range(14)) for _ in range(6)]
     rows = []
-    for i in range(25):
+    for i in range(40):
         lines = []
         for line in r.sample(base, 3):
             words = line.split()
@@ -183,10 +272,79 @@ def test_fuzzy_lines(spark):
                 words[r.randrange(len(words))] = "new" + str(r.randint(0, 99))
             lines.append("  ".join(words).upper() if r.random() < 0.3 else " ".join(words))
         rows.append((i, "\n\n".join(lines)))
-    rows += [(90, None), (91, ""), (92, "same line here\nsame line here\n ")]
-    found = fuzzy_lines.dropped_lines(docs(spark, rows)).collect()
-    assert sorted((x.id, n) for x in found for n in x.dropped) == brute_lines(rows) and len(brute_lines(rows)) > 20
+    rows += [(90, None), (91, ""), (92, "same line here\nsame line here\n "), (93, "x" * 20_000 + "\n" + "x" * 20_001)]
+    found = check_lines(spark, rows, 0.95, 20)
     assert {x.id: x.n_lines for x in found}[90] == 0 and len(found) == len(rows)
     cleaned = {x.doc_id: x.text for x in fuzzy_lines.dedup_lines(docs(spark, rows)).collect()}
     assert cleaned[92] == "same line here\n " and cleaned[90] is None
     assert fuzzy_lines.dropped_lines(docs(spark, [])).count() == 0
+
+
+def test_fuzzy_lines_recall_on_edits(spark, sf_dir):
+    """Lines of the tables, each in a document of its own and beside one edit of it, where the edit similarity holds."""
+    r = random.Random(9)
+    lines = sorted({" ".join(x.split()) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for x in (d.text or "").split("\n") if 3 <= len(x.split()) <= 200})
+    pairs = []
+    for kind in ("typo", "two typos", "word", "deleted word"):
+        for line in r.sample(lines, 300):
+            words = line.split()
+            if kind == "word":
+                words[r.randrange(len(words))] = f"zuq{r.randint(0, 999)}"
+            elif kind == "deleted word":
+                del words[r.randrange(len(words))]
+            new = " ".join(words)
+            for _ in range({"typo": 1, "two typos": 2}.get(kind, 0)):
+                k = r.randrange(len(new))
+                new = new[:k] + "q" + new[k + 1 :]
+            a, b = (fuzzy_lines.normalise(x).decode() for x in (line, new))
+            if a != b and fuzzy_lines.edit_distance(a, b, 10**9) <= 0.2 * max(len(a), len(b)):
+                pairs.append((kind, line, new))
+    rows = [(2 * i + k, x) for i, pair in enumerate(pairs) for k, x in enumerate(pair[1:])]
+    gone = {x.id for x in fuzzy_lines.dropped_lines(docs(spark, rows)).collect() if x.dropped}
+    for kind in ("typo", "two typos", "word", "deleted word"):
+        own = [2 * i + 1 in gone for i, p in enumerate(pairs) if p[0] == kind]
+        assert len(own) > 200 and sum(own) >= 0.9 * len(own), (kind, sum(own), len(own))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "cd", "a", "xyz", "longer"]), max_size=12), st.lists(st.sampled_from(["ab", "cd", "a", "xyz", "longer"]), max_size=12))
+def test_similar_is_by_the_distance(x, y):
+    a, b = " ".join(x), " ".join(y)
+    assert fuzzy_lines.similar(a, b, 0.8) == (plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
+def test_op5_against_all_pairs(spark, sf_dir):
+    """The registered query, on all lines of the smallest tables."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    spots, roots = brute_lines(rows)
+    members = {}
+    for own, root in zip(spots, roots):
+        members.setdefault(root, []).extend(own)
+    want = {s for own in members.values() for s in own if s != min(own)}
+    gone = {(x.doc_id, n) for x in QUERIES["op5_fuzzy_lines"](spark, sf_dir).collect() for n in x.dropped}
+    copies = {s for own in spots for s in own if s != min(own)}
+    assert copies <= gone <= want and len(gone - copies) >= 0.9 * len(want - copies) > 0, (len(gone - copies), len(want - copies))
+
+
+def test_fuzzy_lines_of_one_family(spark, monkeypatch):
+    """Hundreds of lines alike in pairs: crowded buckets, few comparisons."""
+    tried = []
+    plain = buckets.cut
+
+    def counted(df, label):
+        out = plain(df, label)
+        if label == "pairs":
+            tried.append(out.count())
+        return out
+
+    monkeypatch.setattr(buckets, "cut", counted)
+    rows = [(i, f"chapter number {i:04} of the book that everyone reads\nan own line {i * 7919}x{i * 104729} of {i * 31337}") for i in range(600)]
+    found = fuzzy_lines.dropped_lines(docs(spark, rows)).collect()
+    assert sum(0 in x.dropped for x in found) == 599 and sum(tried) < 60_000
+
+
+@pytest.mark.parametrize("names", [("__gone", "__id"), ("a.b", "row"), ("Dropped", "gone_id")])
+def test_lines_with_any_names(spark, names):
+    df = spark.createDataFrame([(1, "same\nown", 5, 6), (2, "same\nother words", 7, 8)], ["doc_id", "text", *names])
+    out = fuzzy_lines.dedup_lines(df)
+    assert out.columns == df.columns and [tuple(r) for r in sorted(out.collect())] == [(1, "same\nown", 5, 6), (2, "other words", 7, 8)]
