@@ -41,6 +41,10 @@ def test_html():
     assert got == [("p", "a b&c d"), ("break", ""), ("div", "e"), ("p", "f")]
 
 
+def test_html_references_need_their_semicolon():
+    assert documents.html_blocks("<p>a &amp;&amp</p><p>b &ampc; &copy 1 &#65 &lt;&#65;&#x42;</p>&") == [("p", "a &&amp"), ("p", "b &ampc; &copy 1 &#65 <AB"), ("p", "&")]
+
+
 def test_spans(spark):
     def span(text, size=12.0, flags=0, y=100.0):
         return (text, size, flags, [0.0, y])
