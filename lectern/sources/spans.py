@@ -13,10 +13,12 @@ LAYOUT_SCHEMA = f"book_id string, page int, ph double, blocks array<struct<type:
 
 
 def dominant_span(spans: Column) -> Column:
-    """The span with the longest stripped text, the first of equals; null if all are blank. Has its place as ``at``."""
+    """The span with the longest stripped text, the first of equals; null if all are blank. Has its place as ``at``.
+    A superscript note number is so only if there is nothing else, however short the line that it stands in."""
     placed = F.transform(spans, lambda s, i: F.struct(F.length(T.strip(s["text"])).alias("n"), (-i).alias("back"), s.alias("span"), i.alias("at")))
     filled = F.filter(placed, lambda x: x["n"] > 0)
-    best = F.aggregate(filled, F.lit(None).cast(f"struct<n:int,back:int,span:{SPAN},at:int>"), lambda a, x: F.when(a.isNull() | (x["n"] > a["n"]), F.struct(x["n"].cast("int").alias("n"), x["back"].cast("int").alias("back"), x["span"].alias("span"), x["at"].cast("int").alias("at"))).otherwise(a))
+    plain = F.filter(filled, lambda x: ~F.coalesce((x["span"]["flags"].bitwiseAND(1) == 1) & x["span"]["text"].rlike(P.FOOTNOTE_MARK), F.lit(False)))
+    best = F.aggregate(F.when(F.size(plain) > 0, plain).otherwise(filled), F.lit(None).cast(f"struct<n:int,back:int,span:{SPAN},at:int>"), lambda a, x: F.when(a.isNull() | (x["n"] > a["n"]), F.struct(x["n"].cast("int").alias("n"), x["back"].cast("int").alias("back"), x["span"].alias("span"), x["at"].cast("int").alias("at"))).otherwise(a))
     return best
 
 

@@ -45,6 +45,14 @@ def test_html_references_need_their_semicolon():
     assert documents.html_blocks("<p>a &amp;&amp</p><p>b &ampc; &copy 1 &#65 &lt;&#65;&#x42;</p>&") == [("p", "a &&amp"), ("p", "b &ampc; &copy 1 &#65 <AB"), ("p", "&")]
 
 
+def test_a_note_number_is_no_text_of_a_short_line(spark):
+    span = lambda text, size, flags, y: {"text": text, "size": size, "flags": flags, "origin": [0.0, y]}
+    line = lambda *own: {"dir": [1.0, 0.0], "bbox": [0.0, 0.0, 9.0, 9.0], "spans": list(own)}
+    lines = [line(span("A", 12.0, 0, 24.0), span("12", 7.0, 1, 20.0)), line(span("12", 7.0, 1, 40.0))]
+    pages = spark.createDataFrame([("b", 0, 100.0, [{"type": 0, "lines": lines}])], spans.LAYOUT_SCHEMA)
+    assert [(r.text, r.size, r.base) for r in spans.lines_from_layout(pages).orderBy("line_no").collect()] == [("A", 12.0, 24.0), ("12", 7.0, 40.0)]
+
+
 def test_spans(spark):
     def span(text, size=12.0, flags=0, y=100.0):
         return (text, size, flags, [0.0, y])
