@@ -2,27 +2,31 @@
 
 Operators deal each node to several keys; nodes that share a key are candidates, a cheap test on what is carried beside the
 key and the caller's own test on the nodes' texts decide. What is asked for is the connected groups, so a pair whose nodes
-are already connected need not be tried.
+are already connected need not be tried; every other pair of a bucket is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, release, smallest_reachable
 
 
-def _side(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select(F.col("key"), *(F.col(c).alias(f"{prefix}{'' if c == 'node' else c}") for c in ("node", "f1", "f2", "root")))
+class Test(NamedTuple):
+    """A test of pairs, of columns in a join and of rows in a Python worker; both have the same result."""
+
+    columns: Callable[..., Column]
+    rows: Callable[..., Any]
 
 
-def _led(rows: DataFrame, struct: str) -> DataFrame:
-    """``key`` and the node in ``struct`` as side ``a``."""
-    return rows.select("key", F.col(f"{struct}.node").alias("a"), *(F.col(f"{struct}.{c}").alias(f"a{c}") for c in ("f1", "f2", "root", "order")))
+def _side(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(F.col("key"), *(F.col(c).alias(f"{prefix}{'' if c == 'node' else c}") for c in rows.columns if c != "key"))
 
 
 def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,21 +58,73 @@ def in_sieve(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+#: Nodes of a crowd that meet in one task: a crowd of more is cut into blocks, and each two blocks meet.
+BLOCK = 1024
+
+
+def _links_within(near: Callable, alike: Callable, batch: int = 256) -> Callable[[pa.Table], pa.Table]:
+    """Links that connect what is connected among the nodes of two blocks, or of one: every pair that shares a key is
+    tried, unless its nodes have been connected before."""
+
+    def of(table: pa.Table) -> pa.Table:
+        node, root, f1, f2, block = (table.column(c).to_numpy().copy() for c in ("node", "root", "f1", "f2", "block"))
+        own = table.column("own").combine_chunks()
+        sizes = own.value_lengths().to_numpy()
+        keys = np.unique(own.flatten().to_numpy(), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        order = np.argsort(keys, kind="stable")
+        members = np.split(np.repeat(np.arange(len(node)), sizes)[order], np.flatnonzero(np.diff(keys[order])) + 1)
+        other = block != block.min()
+        place, test, found = np.arange(len(node)), None, []
+        for v in np.flatnonzero(~other) if other.any() else place:
+            share = np.zeros(len(node), bool)
+            for k in keys[ends[v] - sizes[v] : ends[v]]:
+                share[members[k]] = True
+            left = np.flatnonzero(share & (root != root[v]) & (other if other.any() else place > v))
+            left = left[near(f1[v], f2[v], f1[left], f2[left])]
+            while len(left):
+                if test is None:
+                    test = alike(table.column("text").to_pylist())
+                for j in left[:batch][test(v, left[:batch])]:
+                    if root[j] != root[v]:
+                        found.append((node[v], node[j]))
+                        root[root == root[j]] = root[v]
+                left = left[batch:]
+                left = left[root[left] != root[v]]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return of
+
+
+def _crowd_links(state: DataFrame, crowds: DataFrame, near: Test, alike: Test, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links ``(a, b)`` within each crowd of ``crowds(node, crowd)``, by all keys that its nodes have in ``state``."""
+    blocks = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    nodes = state.join(crowds, "node").groupBy("node").agg(*(F.first(c).alias(c) for c in ("root", "f1", "f2", "crowd")), F.collect_list("key").alias("own"))
+    dealt = nodes.join(blocks, "crowd").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    texts = texts_of(cut(crowds.select("node"), "wanted"))
+    met = dealt.join(texts, "node").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = met.select("crowd", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "node", "root", "f1", "f2", "block", "own", "text")
+    return units.groupBy("crowd", "low", "high").applyInArrow(_links_within(near.rows, alike.rows), "a long, b long")
+
+
 def connected(
-    keys: DataFrame, near: Callable[[str, str], Column], texts_of: Callable[[DataFrame], DataFrame], alike: Callable[[Column, Column], Column],
-    small: int = 64, rounds: int = 6, sifted: Callable[[np.ndarray], DataFrame] | None = None,
+    keys: DataFrame, near: Test, texts_of: Callable[[DataFrame], DataFrame], alike: Test,
+    small: int = 64, rounds: int = 1, sifted: Callable[[np.ndarray], DataFrame] | None = None,
 ) -> DataFrame:
     """``node, root`` of the nodes of ``keys(key, node, f1, f2)`` that are linked to any other; ``root`` is the least of them.
 
-    Two nodes are linked if they share a key, ``near("a", "b")`` holds for ``af1, af2, bf1, bf2``, and ``alike`` for their
-    texts; ``texts_of`` gets ``node``, distinct, and gives ``node, text``. In each bucket the node that has most company over
-    all its keys, the middle of a family of copies as a rule, is compared with all others. Then, in buckets that still hold
-    several groups: one of up to ``small`` nodes has all pairs of different groups compared. In a larger one the node that has
-    most company of those outside the largest group is compared with all of other groups, then others of them, for
-    ``rounds``; at last, or once up to ``small`` are outside, those outside are compared with the middle of each other group,
-    and with each other if they are few. In a turn a node is compared with one leader, and no pair is tried twice. So a
-    bucket costs as many comparisons as it has nodes; in a crowded one, a node that is like some of a group, but neither
-    like its middle nor like any leader, is left out unless another bucket finds it.
+    Two nodes are linked if they share a key, ``near`` holds for their ``f1`` and ``f2``, and ``alike`` for their texts;
+    ``texts_of`` gets ``node``, distinct, and gives ``node, text``. ``near.columns("a", "b")`` is over ``af1, af2, bf1,
+    bf2``, and ``near.rows`` over one node's two numbers and others' arrays of them; ``alike.columns`` is over two columns of texts,
+    and ``alike.rows`` gets a list of texts and gives a test of the place of one and an array of others' places.
+
+    First, in ``rounds`` turns, each node is compared with one leader: of the buckets it is in, the node that has most company over all its
+    keys, the middle of a family of copies as a rule. Then no pair of different groups is left out. In buckets of up to
+    ``small`` nodes such pairs are joined. Larger buckets that still hold several groups, and that share nodes, are a
+    crowd: each text of it goes to tasks that hold up to two blocks of ``BLOCK`` nodes, each two blocks of a crowd meet
+    once, and what a task has connected it doesn't compare again. So a crowd that isn't of one family costs as many
+    cheap comparisons as it has pairs, but rows only by nodes and blocks.
 
     Where few nodes share a key, ``sifted`` saves most of a shuffle: it gets a sieve of the shared keys and gives ``keys``
     without those that can't be in it (:func:`in_sieve`). A full sieve lets all pass, which is as right and saves nothing.
@@ -78,49 +134,56 @@ def connected(
         size = cut(size, "sizes")
         keys = sifted(sieve_of(size))
     shared = cut(keys.join(size, "key"), "shared")
+    drop_cut(size)
     release(keys.sparkSession)
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))
-    roots = cut(company.select("node", F.col("node").alias("root")), "roots")
-    rows = cut(shared.join(company, "node").drop("n"), "company")
+    rows = cut(shared.join(company, "node"), "company")
     drop_cut(shared)
-    open_keys = tried = None
-    for turn in range(rounds + 2):
-        state = rows if open_keys is None else rows.join(open_keys, "key", "left_semi")
-        state = state.join(roots, "node")
-        by_root = state.groupBy("key", "root").agg(F.count("*").alias("c"))
-        top = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all")).select("key", F.col("top.root").alias("top"), (F.col("all") - F.col("top.c")).alias("outside"), "all").where("outside > 0")
-        state = cut(state.join(top, "key"), "state")
-        if not state.limit(1).count():
-            drop_cut(state)
-            break
-        # at first nothing is connected: a bucket has one comparison for each node but one, whatever its size
-        last = F.lit(False) if turn == 0 else F.lit(turn > rounds) | (F.col("outside") <= small)
-        rest = state if turn == 0 else state.where("root <> top")
-        order = F.col("company") if turn < 2 else F.xxhash64("node", F.lit(turn))  # later turns try others
-        leader = rest.where(~last).groupBy("key").agg(F.max(F.struct(order.alias("order"), "node", "f1", "f2", "root")).alias("m"))
-        met = _led(leader, "m").join(_side(state.where(~last), "b"), "key").where("aroot <> broot").where(near("a", "b"))
-        pairs = met.groupBy("b").agg(F.max(F.struct("aorder", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
-        if turn:
-            both = F.col("aroot") != F.col("broot")
-            few, many = state.where(last & (F.col("all") <= small)), state.where(last & (F.col("all") > small))
-            outside = many.where("root <> top")
-            heads = many.groupBy("key", "root").agg(F.max(F.struct(F.col("company").alias("order"), "node", "f1", "f2", "root")).alias("m")).select("key", "m")
-            loose = outside.where(F.col("outside") <= small)
-            for one, other in ((_side(few, "a"), _side(few, "b")), (_led(heads, "m"), _side(outside, "b")), (_side(loose, "a"), _side(loose, "b"))):
-                pairs = pairs.union(one.join(other, "key").where(both).where(near("a", "b")).select("a", "b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = cut(pairs if tried is None else tried.union(pairs), "tried")
+    roots = cut(rows.select("node", F.col("node").alias("root")).distinct(), "roots")
+
+    def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         texts = texts_of(cut(wanted, "wanted"))
         a, b = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        links = cut(pairs.join(a, "a").join(b, "b").where(alike(F.col("text_a"), F.col("text_b"))).select("a", "b"), "links")
-        more = cut(state.where(~last).select("key").distinct(), "open")
+        links = cut(pairs.join(a, "a").join(b, "b").where(alike.columns(F.col("text_a"), F.col("text_b"))).select("a", "b"), "links")
+        drop_cut(texts)
+        return links
+
+    tried = None
+    for turn in range(rounds):
+        order = F.col("company") if turn == 0 else F.xxhash64("node", F.lit(turn))  # later turns try others
+        state = rows.select("key", "node", "f1", "f2", order.alias("order"))
+        state = state if turn == 0 else state.join(roots, "node")
+        leader = _side(state.groupBy("key").agg(F.max(F.struct("order", *(c for c in state.columns if c not in ("key", "order")))).alias("m")).select("key", "m.*"), "a")
+        met = leader.join(_side(state.drop("order"), "b"), "key").where("a <> b" if turn == 0 else "aroot <> broot").where(near.columns("a", "b"))
+        pairs = met.groupBy("b").agg(F.max(F.struct("aorder", "a")).alias("best")).select(F.least("best.a", "b").alias("a"), F.greatest("best.a", "b").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = linked(pairs)
         roots = _merged(roots, links)
-        drop_cut(state, pairs, texts, links, *([open_keys] if open_keys is not None else []))
-        open_keys = more
+        drop_cut(links)
         release(keys.sparkSession)
-        if not more.limit(1).count():
-            break
+    # all that is left: pairs of different groups
+    state = rows.drop("n", "company").join(roots, "node")
+    several = state.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key", "n")
+    state = cut(state.join(several, "key"), "state")
+    drop_cut(rows)
+    crowded = state.where(F.col("n") > small)
+    few = state.where(F.col("n") <= small).drop("n")
+    links = None
+    if crowded.limit(1).count():
+        hung = cut(crowded.select("key", "node").join(crowded.groupBy("key").agg(F.min("node").alias("a")), "key").select("a", F.col("node").alias("b")).distinct(), "hung")
+        crowds = cut(smallest_reachable(hung.select(F.col("b").alias("node")).distinct(), hung).select("node", F.col("root").alias("crowd")), "crowds")
+        links = cut(_crowd_links(state.drop("n"), crowds, near, alike, texts_of), "crowd-links")
+        few = few.join(crowds, "node", "left")
+        drop_cut(hung)
+    else:
+        few = few.withColumn("crowd", F.lit(None).cast("long"))
+    pairs = _side(few, "a").join(_side(few, "b"), "key").where("a < b and aroot <> broot and (acrowd <=> bcrowd and acrowd is not null) = false").where(near.columns("a", "b")).select("a", "b").distinct()
+    pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    found = linked(pairs)
+    roots = _merged(roots, found if links is None else found.union(links))
+    drop_cut(state, pairs, found)
+    release(keys.sparkSession)
     grouped = roots.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
     return roots.join(grouped, "root").select("node", "root")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import connected, in_sieve
+from .buckets import Test, connected, in_sieve
 from .common import cut, if_few, named, packed, release
 
 BLOCKS = 8
@@ -330,11 +330,17 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def near(a: str, b: str) -> Column:  # the distance is the difference in length at least
         return (F.least(f"{a}f1", f"{b}f1") >= least * F.greatest(f"{a}f1", f"{b}f1") - 1e-6) & (F.bit_count(F.col(f"{a}f2").bitwiseXOR(F.col(f"{b}f2"))) <= RADIUS)
 
+    def near_rows(f1: np.int64, f2: np.int64, f1s: np.ndarray, f2s: np.ndarray) -> np.ndarray:
+        return (np.minimum(f1, f1s) >= least * np.maximum(f1, f1s) - 1e-6) & (np.bitwise_count((f2 ^ f2s).view(np.uint64)) <= RADIUS)
+
+    def similar_rows(texts: list[str]):
+        return lambda v, js: np.array([similar(texts[v], texts[j], least) for j in js.tolist()], bool)
+
     def texts_of(wanted: DataFrame) -> DataFrame:
         spots = distinct.join(wanted, "node").select("node", "first.id", "first.line_no", "h1", "h2")
         return cut(_texts(docs, id_col, text_col, spots), "texts")
 
-    roots = cut(connected(signed.mapInArrow(_emit_keys, schema), near, texts_of, lambda a, b: similar_column(a, b, least), sifted=sifted), "roots")
+    roots = cut(connected(signed.mapInArrow(_emit_keys, schema), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows), sifted=sifted), "roots")
     # a line that has no link is a group of its own
     linked = roots.join(distinct.select("node", "first"), "node")
     stays = linked.join(linked.groupBy("root").agg(F.min("first").alias("stays")), "root").select("node", "stays")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import connected
+from .buckets import Test, connected
 from .common import cut, if_few, named, packed, release, smallest_reachable
 
 SEED = 42
@@ -236,6 +236,32 @@ def similar_column(a: Column, b: Column, shingle: int, least: float) -> Column:
     return of(a, b)
 
 
+def similar_rows(shingle: int, least: float):
+    """The same for a list of texts, as a test of one's place and others' places: first by hashes of the shingles, then, for
+    those that come near ``least``, by the shingles."""
+
+    def of(texts: list[str]):
+        sets = lru_cache(64)(lambda k: shingles(texts[k], shingle))
+        own = [np.fromiter({xxhash.xxh3_64_intdigest(b" ".join(g)) for g in shingles(t, shingle)}, np.uint64) for t in texts]
+        sizes = np.array([len(x) for x in own])
+        values, codes = np.unique(np.concatenate(own), return_inverse=True)
+        starts, mark = np.cumsum(sizes) - sizes, np.zeros(len(values), bool)
+
+        def test(v: int, js: np.ndarray) -> np.ndarray:
+            mine = codes[starts[v] : starts[v] + sizes[v]]
+            mark[mine] = True
+            ends = np.cumsum(sizes[js])
+            hits = np.concatenate(([0], np.cumsum(mark[codes[np.arange(ends[-1]) + np.repeat(starts[js] - ends + sizes[js], sizes[js])]])))
+            mark[mine] = False
+            both = hits[ends] - hits[ends - sizes[js]]
+            maybe = both >= (least - 0.01) * (sizes[v] + sizes[js] - both)
+            return np.array([ok and jaccard(sets(v), sets(j)) >= least for ok, j in zip(maybe.tolist(), js.tolist())], bool)
+
+        return test
+
+    return of
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 20) -> DataFrame:
     """One row per input row: ``id, component_id``, the smallest id reachable over links.
 
@@ -262,7 +288,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def near(a: str, b: str) -> Column:
         return F.bit_count(F.col(f"{a}f1").bitwiseXOR(F.col(f"{b}f1"))) + F.bit_count(F.col(f"{a}f2").bitwiseXOR(F.col(f"{b}f2"))) <= radius
 
-    roots = connected(keys, near, texts_of, lambda a, b: similar_column(a, b, shingle, least))
+    def near_rows(f1: np.int64, f2: np.int64, f1s: np.ndarray, f2s: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count((x ^ xs).view(np.uint64)).astype(int) for x, xs in ((f1, f1s), (f2, f2s))) <= radius
+
+    roots = connected(keys, Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, shingle, least), similar_rows(shingle, least)))
     group = nodes.select("node", "h1", "h2", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = group.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("id", "h1", "h2").join(group.join(smallest, "root").select("h1", "h2", "component_id"), ["h1", "h2"]).select("id", "component_id")

@@ -343,6 +343,35 @@ def test_fuzzy_lines_of_one_family(spark, monkeypatch):
     assert sum(0 in x.dropped for x in found) == 599 and sum(tried) < 60_000
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+@pytest.mark.parametrize("small", [64, 1000])
+def test_connected_leaves_no_pair_out(spark, monkeypatch, small, block):
+    """Chains: in one bucket each node is like the one before and the one after it, and like no leader."""
+    monkeypatch.setattr(buckets, "BLOCK", block)
+    r = random.Random(6)
+    place = r.sample(range(10_000), 300)  # node k of chain c stands at 2000 c + k
+    at = {node: 2000 * (i % 3) + i // 3 for i, node in enumerate(place)}
+    keys = [(key, node, 0, 0) for node, x in at.items() for key in {7, 100 + x // 2000} | ({900 + x // 40} if x % 2 else set())]
+    texts = spark.createDataFrame([(node, str(x)) for node, x in at.items()], "node long, text string")
+    near = buckets.Test(lambda a, b: F.col(f"{a}f1") == F.col(f"{b}f1"), lambda f1, f2, f1s, f2s: f1s == f1)
+    alike = buckets.Test(lambda a, b: F.abs(a.cast("long") - b.cast("long")) <= 1, lambda own: lambda v, js: np.array([abs(int(own[v]) - int(own[j])) <= 1 for j in js], bool))
+    got = buckets.connected(spark.createDataFrame(keys, "key long, node long, f1 long, f2 long"), near, lambda w: texts.join(w, "node"), alike, small=small)
+    want = {node: min(n for n, y in at.items() if y // 2000 == x // 2000) for node, x in at.items()}
+    assert {x.node: x.root for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("size", [1, 5])
+def test_similar_rows_as_columns(size):
+    r = random.Random(8)
+    base = [f"w{r.randint(0, 50)}" for _ in range(90)]
+    texts = ["", "one", "one two", *(" ".join(edited(r, base, r.randint(0, 6))) for _ in range(40)), ""]
+    test = golay_simhash.similar_rows(size, 0.8)(texts)
+    for v in range(len(texts)):
+        js = np.array([j for j in range(len(texts)) if j != v])
+        want = [golay_simhash.jaccard(golay_simhash.shingles(texts[v], size), golay_simhash.shingles(texts[j], size)) >= 0.8 for j in js]
+        assert test(v, js).tolist() == want
+
+
 @pytest.mark.parametrize("names", [("__gone", "__id"), ("a.b", "row"), ("Dropped", "gone_id")])
 def test_lines_with_any_names(spark, names):
     df = spark.createDataFrame([(1, "same\nown", 5, 6), (2, "same\nother words", 7, 8)], ["doc_id", "text", *names])
