@@ -377,3 +377,63 @@ def test_lines_with_any_names(spark, names):
     df = spark.createDataFrame([(1, "same\nown", 5, 6), (2, "same\nother words", 7, 8)], ["doc_id", "text", *names])
     out = fuzzy_lines.dedup_lines(df)
     assert out.columns == df.columns and [tuple(r) for r in sorted(out.collect())] == [(1, "same\nown", 5, 6), (2, "other words", 7, 8)]
+
+
+def chain_tests():
+    near = buckets.Test(lambda a, b: F.col(f"{a}f1") == F.col(f"{b}f1"), lambda f1, f2, f1s, f2s: f1s == f1)
+    alike = buckets.Test(lambda a, b: F.abs(a.cast("long") - b.cast("long")) <= 1, lambda own: lambda v, js: np.array([abs(int(own[v]) - int(own[j])) <= 1 for j in js], bool))
+    return near, alike
+
+
+def test_connected_tells_a_nodes_numbers_by_key(spark):
+    """Lines have one SimHash for keys by words and another for those by runs: near by one, far by the other."""
+    keys = [(key, n, 1000 + n, 0) for n in range(150) for key in (5, 6, 7)] + [(8, n, 0, 0) for n in range(150)]
+    texts = spark.createDataFrame([(n, str(n)) for n in range(150)], "node long, text string")
+    got = buckets.connected(spark.createDataFrame(keys, "key long, node long, f1 long, f2 long"), chain_tests()[0], lambda w: texts.join(w, "node"), chain_tests()[1])
+    assert {x.node: x.root for x in got.collect()} == {n: 0 for n in range(150)}
+
+
+def test_connected_joins_no_bucket_inside_a_crowd(spark, monkeypatch):
+    """The pairs of a crowd's small buckets meet with the crowd; their keys go no further."""
+    sides, plain = [], buckets._side
+    monkeypatch.setattr(buckets, "_side", lambda rows, prefix: (sides.append(rows), plain(rows, prefix))[1])
+    monkeypatch.setattr(buckets, "drop_cut", lambda *a: None)
+    keys = [(key, n, 0, 0) for n in range(200) for key in (7, 100 + n // 10)] + [(900, 200, 0, 0), (900, 202, 0, 0)]
+    texts = spark.createDataFrame([(n, str(n)) for n in range(203)], "node long, text string")
+    near, alike = chain_tests()
+    got = buckets.connected(spark.createDataFrame(keys, "key long, node long, f1 long, f2 long"), near, lambda w: texts.join(w, "node"), alike)
+    assert {x.node: x.root for x in got.collect()} == {n: 0 for n in range(200)}
+    assert sides[-1].select("key").distinct().count() == 1
+
+
+def test_connected_meets_strangers_by_bucket(spark, monkeypatch, tmp_path):
+    """A long chain of crowded buckets: its nodes come with their buckets, not with all others of the chain."""
+    plain = buckets._links_within
+
+    def counting(near, alike):
+        inner = plain(near, alike)
+
+        def of(table):
+            with (tmp_path / "met").open("a") as f:
+                f.write(f"{table.num_rows}\n")
+            return inner(table)
+
+        return of
+
+    monkeypatch.setattr(buckets, "_links_within", counting)
+    monkeypatch.setattr(buckets, "BLOCK", 50)
+    keys = [(b, 69 * b + k, 0, 0) for b in range(40) for k in range(70)]  # each shares a node with the next
+    texts = spark.createDataFrame([(n, str(n if n % 69 > 60 else -10 * n - 10)) for n in range(69 * 40 + 1)], "node long, text string")
+    near, alike = chain_tests()
+    got = buckets.connected(spark.createDataFrame(keys, "key long, node long, f1 long, f2 long"), near, lambda w: texts.join(w, "node"), alike)
+    assert {x.node: x.root for x in got.collect()} == {69 * b + k: 69 * b + 61 for b in range(40) for k in range(61, 69)}
+    assert 40 * 70 <= sum(map(int, (tmp_path / "met").read_text().split())) <= 2 * 40 * 70
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab é😀", max_size=16), min_size=2, max_size=8))
+def test_lines_similar_rows_as_pairs(texts):
+    test = fuzzy_lines.similar_rows(0.8)(texts)
+    for v in range(len(texts)):
+        js = np.array([j for j in range(len(texts)) if j != v])
+        assert test(v, js).tolist() == [fuzzy_lines.similar(texts[v], texts[j], 0.8) for j in js]
