@@ -80,9 +80,9 @@ def release(spark: SparkSession) -> None:
 FEW = 200_000
 
 
-def if_few(rows: DataFrame) -> DataFrame:
+def if_few(rows: DataFrame, few: int = FEW) -> DataFrame:
     """``rows`` marked for a broadcast if they have been counted and are few; else as they are, to be shuffled."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
+    return F.broadcast(rows) if rows.count() <= few else rows
 
 
 @atexit.register

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Test, connected, in_sieve
-from .common import cut, if_few, named, packed, release
+from .common import cut, drop_cut, if_few, named, packed, release
 
 BLOCKS = 8
 #: Characters that the blocks of a key must hold.
@@ -300,6 +300,38 @@ def similar_column(a: Column, b: Column, least: float) -> Column:
     return of(a, b)
 
 
+PAIR_BINS = 256
+#: Up to so many nodes, of one long or two each, are broadcast.
+FEW_NODES = 1_000_000
+
+
+def pair_counts(text: str) -> np.ndarray:
+    """How often each pair of neighbouring characters is in ``text``, by a hash of the pair."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.bincount((chars[:-1] * np.uint32(0x9E3779B1) ^ chars[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24), minlength=PAIR_BINS)
+
+
+def similar_rows(least: float):
+    """:func:`similar` for a list of texts, as a test of one's place and others' places. An edit takes away two of a text's
+    pairs of characters at most, so a text that has too few in common with another isn't compared further."""
+
+    def of(texts: list[str]):
+        sizes = np.array([len(t) for t in texts])
+        pairs = np.zeros((len(texts), PAIR_BINS), np.int32 if sizes.max(initial=0) >> 15 else np.int16)
+        for k, t in enumerate(texts):
+            pairs[k] = pair_counts(t)
+
+        def test(v: int, js: np.ndarray) -> np.ndarray:
+            longer = np.maximum(sizes[v], sizes[js])
+            most = ((1 - least) * longer + 1e-9).astype(int)
+            maybe = np.minimum(pairs[v], pairs[js]).sum(axis=1, dtype=int) >= longer - 1 - 2 * most
+            return np.array([ok and similar(texts[v], texts[j], least) for ok, j in zip(maybe.tolist(), js.tolist())], bool)
+
+        return test
+
+    return of
+
+
 def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """One row for every line that isn't blank: ``id, line_no, kept``; one occurrence of each connected group is kept.
 
@@ -311,10 +343,12 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text has no lines. Null ids come before all others in choosing what is kept. Repeated rows repeat their lines, of
     which one occurrence is kept, though both rows' line bears its number; see :func:`dedup_lines`.
     """
-    lines = cut(line_table(docs, id_col, text_col), "lines")
+    signed = cut(line_table(docs, id_col, text_col), "signed-lines")
     # numbers are made while the table is written, so they are fixed from then on
-    distinct = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("chars").alias("chars"), F.min("sig").alias("sig"))
+    distinct = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("chars").alias("chars"), F.min("sig").alias("sig"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
+    lines = cut(signed.select("id", "line_no", "h1", "h2"), "lines")
+    drop_cut(signed)
     release(docs.sparkSession)
     signed, schema = distinct.select("node", "chars", "sig"), "key long, node long, f1 long, f2 long"
 
@@ -333,20 +367,17 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def near_rows(f1: np.int64, f2: np.int64, f1s: np.ndarray, f2s: np.ndarray) -> np.ndarray:
         return (np.minimum(f1, f1s) >= least * np.maximum(f1, f1s) - 1e-6) & (np.bitwise_count((f2 ^ f2s).view(np.uint64)) <= RADIUS)
 
-    def similar_rows(texts: list[str]):
-        return lambda v, js: np.array([similar(texts[v], texts[j], least) for j in js.tolist()], bool)
-
     def texts_of(wanted: DataFrame) -> DataFrame:
-        spots = distinct.join(wanted, "node").select("node", "first.id", "first.line_no", "h1", "h2")
+        spots = distinct.join(if_few(wanted, FEW_NODES), "node").select("node", "first.id", "first.line_no", "h1", "h2")
         return cut(_texts(docs, id_col, text_col, spots), "texts")
 
-    roots = cut(connected(signed.mapInArrow(_emit_keys, schema), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows), sifted=sifted), "roots")
+    roots = cut(connected(signed.mapInArrow(_emit_keys, schema), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows(least)), sifted=sifted), "roots")
     # a line that has no link is a group of its own
-    linked = roots.join(distinct.select("node", "first"), "node")
-    stays = linked.join(linked.groupBy("root").agg(F.min("first").alias("stays")), "root").select("node", "stays")
-    of_line = distinct.join(stays, "node", "left").select("h1", "h2", F.coalesce("stays", "first").alias("stays"))
-    placed = lines.select("id", "line_no", "h1", "h2").join(of_line, ["h1", "h2"])
-    return placed.select("id", "line_no", F.struct("id", "line_no").eqNullSafe(F.col("stays")).alias("kept"))
+    linked = distinct.select("node", "h1", "h2", "first").join(if_few(roots, FEW_NODES), "node")
+    first = linked.groupBy("root").agg(F.min("first").alias("stays"))
+    other = cut(linked.join(first, "root").where("first <> stays").select("h1", "h2", F.lit(True).alias("other")), "other")
+    placed = lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).join(other, ["h1", "h2"], "left")
+    return placed.select("id", "line_no", (F.struct("id", "line_no").eqNullSafe(F.col("first")) & F.col("other").isNull()).alias("kept"))
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
