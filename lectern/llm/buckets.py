@@ -164,7 +164,8 @@ def connected(
     if sifted is not None:
         size = cut(size, "sizes")
         keys = sifted(sieve_of(size))
-    shared = cut(keys.join(size, "key"), "shared")
+    # Spark takes the keys for as many rows as nodes and would send all of them through the driver to every executor
+    shared = cut(keys.join(size.hint("merge"), "key"), "shared")
     drop_cut(size)
     release(keys.sparkSession)
     company = shared.groupBy("node").agg(F.sum("n").alias("company"))

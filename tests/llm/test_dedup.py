@@ -406,6 +406,23 @@ def test_connected_joins_no_bucket_inside_a_crowd(spark, monkeypatch):
     assert sides[-1].select("key").distinct().count() == 1
 
 
+def test_connected_sends_no_keys_through_the_driver(spark, monkeypatch):
+    """A node is one row and its keys are hundreds, of which Spark knows nothing when it plans the join."""
+    plans = []
+
+    def seen(df, label):
+        if label == "shared":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    real = buckets.cut
+    monkeypatch.setattr(buckets, "cut", seen)
+    rows = [(i, f"some words of text {i} that are none of another and a few more of {i % 7}") for i in range(40)]
+    golay_simhash.similar_groups(docs(spark, rows)).count()
+    fuzzy_lines.line_groups(docs(spark, rows)).count()
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+
+
 def test_connected_meets_strangers_by_bucket(spark, monkeypatch, tmp_path):
     """A long chain of crowded buckets: its nodes come with their buckets, not with all others of the chain."""
     plain = buckets._links_within
