@@ -157,8 +157,8 @@ def connected(
     doesn't compare again. So a crowd that isn't of one family costs as many cheap comparisons as it has pairs, but rows
     only by nodes and blocks.
 
-    Where few nodes share a key, ``sifted`` saves most of a shuffle: it gets a sieve of the shared keys and gives ``keys``
-    without those that can't be in it (:func:`in_sieve`). A full sieve lets all pass, which is as right and saves nothing.
+    Where few nodes share a key, ``sifted`` saves most of a shuffle: it gets a sieve of the shared keys and gives all columns
+    of those that may be in it (:func:`in_sieve`); ``keys(key)`` is enough then. A full sieve lets all pass, which is as right and saves nothing.
     """
     size = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if sifted is not None:

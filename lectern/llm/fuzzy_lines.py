@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import Test, connected, in_sieve
-from .common import cut, drop_cut, if_few, named, packed, release
+from .common import cut, if_few, named, packed, release
 
 BLOCKS = 8
 #: Characters that the blocks of a key must hold.
@@ -72,7 +72,9 @@ def simhash_blocks(lines: np.ndarray, hashes: np.ndarray, held: np.ndarray, n: i
     """For features given by line, hash and characters: each line's eight blocks (n x 8, of 32 bits), how many characters
     they hold, and the SimHash of 32 bits of the line as a whole. A bit is set if it is in over half of the block's features; a feature that a line repeats counts once, else
     a block would be that of the commonest word in it."""
-    once = np.unique(hashes + lines.astype(np.uint64) * np.uint64(_BASE), return_index=True)[1]
+    of_both = hashes + lines.astype(np.uint64) * np.uint64(_BASE)
+    order = np.argsort(of_both)  # which of equal ones is taken makes no difference, so the sort needn't be stable
+    once = order[np.concatenate(([True], np.diff(of_both[order]) != 0))] if len(order) else order
     lines, hashes, held = lines[once], hashes[once], held[once]
     group = lines * BLOCKS + (hashes >> np.uint64(61)).astype(np.int64)
     count = np.bincount(group, minlength=n * BLOCKS)
@@ -239,11 +241,35 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return min(score, most + 1)
 
 
+#: Numbers of words that two lines skip to meet again, the fewest first.
+_SKIPS = sorted(((p, q) for p in range(7) for q in range(7) if p or q), key=lambda s: (max(s), abs(s[0] - s[1])))
+
+
+def aligned(x: list[str], y: list[str], most: int) -> bool:
+    """Whether two lines' words, gone through side by side, show that the distance is ``most`` or less. Where they differ, they
+    meet again at the next two equal words, and what lies between is changed as a whole: never less than the distance."""
+    i = j = cost = 0
+    n, m = len(x), len(y)
+    while True:
+        for p, q in zip(x[i:], y[j:]) if i or j else zip(x, y):
+            if p != q:
+                break
+            i += 1
+            j += 1
+        p, q = n - i, m - j  # all that is left, unless they meet before
+        if p and q:
+            p, q = next((s for s in _SKIPS if (two := x[i + s[0] : i + s[0] + 2]) and two == y[j + s[1] : j + s[1] + 2]), (p, q))
+        cost += max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        i, j = i + p, j + q
+        if cost > most or i == n and j == m:
+            return cost <= most
+
+
 def similar(a: str, b: str, least: float) -> bool:
     """Whether 1 - distance / longer length is ``least`` or more.
 
-    If the words between the common ends can be changed one by one, or all together, within the bound, that is enough; else
-    the distance decides.
+    If the words between the common ends can be changed one by one, or all together, or by what lies between common words,
+    within the bound, that is enough; else the distance decides.
     """
     longer = max(len(a), len(b))
     most = int((1 - least) * longer + 1e-9)
@@ -265,7 +291,7 @@ def similar(a: str, b: str, least: float) -> bool:
     x, y = x[head : len(x) - tail], y[head : len(y) - tail]
     if max(sum(map(len, x)) + len(x), sum(map(len, y)) + len(y)) <= most:
         return True
-    return edit_distance(a, b, most) <= most
+    return aligned(x, y, most) or edit_distance(a, b, most) <= most
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -347,11 +373,14 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # numbers are made while the table is written, so they are fixed from then on
     distinct = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("chars").alias("chars"), F.min("sig").alias("sig"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
-    lines = cut(signed.select("id", "line_no", "h1", "h2"), "lines")
-    drop_cut(signed)
+    lines = signed.select("id", "line_no", "h1", "h2")
     release(docs.sparkSession)
     signed, schema = distinct.select("node", "chars", "sig"), "key long, node long, f1 long, f2 long"
 
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # to be counted; most are of one line
+        for batch in _emit_keys(batches):
+            yield batch.select(["key"])
+
     def sifted(sieve: np.ndarray) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
@@ -371,7 +400,7 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spots = distinct.join(if_few(wanted, FEW_NODES), "node").select("node", "first.id", "first.line_no", "h1", "h2")
         return cut(_texts(docs, id_col, text_col, spots), "texts")
 
-    roots = cut(connected(signed.mapInArrow(_emit_keys, schema), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows(least)), sifted=sifted), "roots")
+    roots = cut(connected(signed.mapInArrow(only_keys, "key long"), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows(least)), sifted=sifted), "roots")
     # a line that has no link is a group of its own
     linked = distinct.select("node", "h1", "h2", "first").join(if_few(roots, FEW_NODES), "node")
     first = linked.groupBy("root").agg(F.min("first").alias("stays"))

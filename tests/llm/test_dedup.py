@@ -313,6 +313,20 @@ def test_similar_is_by_the_distance(x, y):
     assert fuzzy_lines.similar(a, b, 0.8) == (plain_distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["ab", "cd", "a", "xyz", "longer"]), max_size=25), st.lists(st.sampled_from(["ab", "cd", "a", "xyz", "longer"]), max_size=25), st.integers(0, 40))
+def test_aligned_is_never_below_the_distance(x, y, most):
+    assert not fuzzy_lines.aligned(x, y, most) or plain_distance(" ".join(x), " ".join(y)) <= most
+
+
+def test_similar_lines_need_no_distance(monkeypatch):
+    """Words that are new, left out and changed in one line: words side by side tell that it is similar enough."""
+    monkeypatch.setattr(fuzzy_lines, "edit_distance", None)
+    words = [f"word{i}" for i in range(60)]
+    new = ["first", *words[:9], "one", "more", *words[9:20], *words[21:40], "other", *words[41:59], "last"]
+    assert fuzzy_lines.similar(" ".join(words), " ".join(new), 0.8)
+
+
 def test_op5_against_all_pairs(spark, sf_dir):
     """The registered query, on all lines of the smallest tables."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
