@@ -7,7 +7,7 @@ are already connected need not be tried; every other pair of a bucket is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -58,6 +58,60 @@ def in_sieve(sieve: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (sieve[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+#: Keys that a task sorts at once, and ranges of keys that it deals them to.
+SORTED, RANGES = 1 << 20, 1 << 12
+
+
+def _dealt(keys: Iterable[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``range, keys``: a row for each range of keys, with all of ``SORTED`` or so that fall into it."""
+
+    def deal() -> pa.RecordBatch:
+        own = np.sort(np.concatenate(held).view(np.uint64))
+        ends = np.concatenate(([0], np.cumsum(np.bincount((own // np.uint64((1 << 64) // RANGES)).astype(np.int64), minlength=RANGES))))
+        packed = pa.Array.from_buffers(pa.binary(), RANGES, [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(own.astype("<u8"))])
+        filled = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(filled), packed.take(pa.array(filled))], ["range", "keys"])
+
+    held, n = [], 0
+    for more in keys:
+        held.append(more)
+        n += len(more)
+        if n >= SORTED:
+            yield deal()
+            held, n = [], 0
+    if n:
+        yield deal()
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``key, n`` of the keys that are there more than once; rows come by range."""
+
+    def counted() -> pa.RecordBatch:
+        own = np.sort(np.frombuffer(b"".join(held), "<u8"))
+        starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        n = np.diff(starts, append=len(own))
+        return pa.RecordBatch.from_arrays([pa.array(own[starts[n > 1]].view(np.int64)), pa.array(n[n > 1])], ["key", "n"])
+
+    held, size, last = [], 0, None
+    for batch in batches:
+        for at, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if at != last and size >= 8 * SORTED:
+                yield counted()
+                held, size = [], 0
+            last = at
+            held.append(packed.as_buffer())
+            size += len(held[-1])
+    if held:
+        yield counted()
+
+
+def shared_keys(rows: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterable[np.ndarray]]) -> DataFrame:
+    """``key, n`` of the keys that ``keys_of`` gives for ``rows`` more than once. Keys are hashes of 64 bits and most are there
+    once, so they travel in sorted runs, thousands to a row, and are counted in Python."""
+    dealt = rows.mapInArrow(lambda batches: _dealt(keys_of(batches)), "range long, keys binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(_sizes, "key long, n long")
+
+
 #: Nodes of a crowd that meet in one task: a crowd of more is cut into blocks, and each two blocks meet.
 BLOCK = 1024
 
@@ -140,7 +194,7 @@ def _crowd_links(crowded: DataFrame, apart: DataFrame, near: Test, alike: Test,
 
 def connected(
     keys: DataFrame, near: Test, texts_of: Callable[[DataFrame], DataFrame], alike: Test,
-    small: int = 64, rounds: int = 1, sifted: Callable[[np.ndarray], DataFrame] | None = None,
+    small: int = 64, rounds: int = 1, sifted: Callable[[np.ndarray], DataFrame] | None = None, sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``node, root`` of the nodes of ``keys(key, node, f1, f2)`` that are linked to any other; ``root`` is the least of them.
 
@@ -158,9 +212,10 @@ def connected(
     only by nodes and blocks.
 
     Where few nodes share a key, ``sifted`` saves most of a shuffle: it gets a sieve of the shared keys and gives all columns
-    of those that may be in it (:func:`in_sieve`); ``keys(key)`` is enough then. A full sieve lets all pass, which is as right and saves nothing.
+    of those that may be in it (:func:`in_sieve`); ``keys(key)`` is enough then, and isn't read if ``sizes`` has what
+    :func:`shared_keys` gives. A full sieve lets all pass, which is as right and saves nothing.
     """
-    size = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    size = sizes if sizes is not None else keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     if sifted is not None:
         size = cut(size, "sizes")
         keys = sifted(sieve_of(size))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import Test, connected, in_sieve
+from .buckets import Test, connected, in_sieve, shared_keys
 from .common import cut, if_few, named, packed, release
 
 BLOCKS = 8
@@ -65,30 +65,68 @@ class Powers:
         return _mixed((sums[ends] - sums[starts]) * self.down[starts])
 
 
-_SPREAD = sum(((np.arange(16) >> q & 1).astype(np.float64) * float(1 << 13 * q)) for q in range(4))
+#: Bits of a byte, and of half a byte, each as a counter of its own in one number.
+_EIGHT = sum((np.arange(256, dtype=np.uint64) >> np.uint64(q) & np.uint64(1)) << np.uint64(8 * q) for q in range(8))
+_FOUR = sum((np.arange(16, dtype=np.uint64) >> np.uint64(q) & np.uint64(1)) << np.uint64(16 * q) for q in range(4))
+#: Lines whose features are told apart in one sort: a line's number has 20 bits there.
+_SORTED = 1 << 20
+
+
+def _ones(bits: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """For runs of numbers of 32 bits that begin at ``starts`` and have ``most`` members at most: how many have each bit."""
+    octets = bits.astype("<u4").view(np.uint8).reshape(-1, 4)
+    if most < 1 << 8:
+        return np.stack([np.add.reduceat(_EIGHT[octets[:, j]], starts) for j in range(4)], axis=1).astype("<u8").view(np.uint8)
+    if most < 1 << 16:
+        halves = [octets[:, j // 2] >> 4 * (j % 2) & 15 for j in range(8)]
+        return np.stack([np.add.reduceat(_FOUR[half], starts) for half in halves], axis=1).astype("<u8").view("<u2")
+    return np.add.reduceat(np.unpackbits(octets, axis=1, bitorder="little"), starts, axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.packbits(ones > (count // 2)[:, None], axis=1, bitorder="little").view("<u4").ravel()
 
 
 def simhash_blocks(lines: np.ndarray, hashes: np.ndarray, held: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For features given by line, hash and characters: each line's eight blocks (n x 8, of 32 bits), how many characters
+    """For features given by line, in ascending order, hash and characters: each line's eight blocks (n x 8, of 32 bits), how many characters
     they hold, and the SimHash of 32 bits of the line as a whole. A bit is set if it is in over half of the block's features; a feature that a line repeats counts once, else
-    a block would be that of the commonest word in it."""
-    of_both = hashes + lines.astype(np.uint64) * np.uint64(_BASE)
-    order = np.argsort(of_both)  # which of equal ones is taken makes no difference, so the sort needn't be stable
-    once = order[np.concatenate(([True], np.diff(of_both[order]) != 0))] if len(order) else order
-    lines, hashes, held = lines[once], hashes[once], held[once]
-    group = lines * BLOCKS + (hashes >> np.uint64(61)).astype(np.int64)
-    count = np.bincount(group, minlength=n * BLOCKS)
-    out, whole, of_line = np.zeros(n * BLOCKS, np.uint32), np.zeros(n, np.uint32), count.reshape(n, BLOCKS).sum(axis=1)
-    few = count.max(initial=0) < 1 << 13
-    for j in range(8):  # four bits at a time: four counters in one double, exact below 2**13 features
-        part = (hashes >> np.uint64(4 * j) & np.uint64(15)).astype(np.int64)
-        if few:
-            ones = np.bincount(group, _SPREAD[part], n * BLOCKS).astype(np.int64)
-        for q in range(4):
-            own = ones >> 13 * q & 8191 if few else np.bincount(group[part >> q & 1 == 1], minlength=n * BLOCKS)
-            out |= (2 * own > count).astype(np.uint32) << np.uint32(4 * j + q)
-            whole |= (2 * own.reshape(n, BLOCKS).sum(axis=1) > of_line).astype(np.uint32) << np.uint32(4 * j + q)
-    return out.reshape(n, BLOCKS), np.bincount(group, held, n * BLOCKS).astype(np.int64).reshape(n, BLOCKS), whole
+    a block would be that of the commonest word in it. A feature's characters count up to 511."""
+    if n > _SORTED:
+        at = int(np.searchsorted(lines, _SORTED))
+        parts = simhash_blocks(lines[:at], hashes[:at], held[:at], _SORTED), simhash_blocks(lines[at:] - _SORTED, hashes[at:], held[at:], n - _SORTED)
+        return tuple(np.concatenate(own) for own in zip(*parts))
+    out, sums, whole = np.zeros(n * BLOCKS, np.uint32), np.zeros(n * BLOCKS, np.int64), np.zeros(n, np.uint32)
+    if len(lines):
+        # line, block, bits, characters: one sort brings equal features together, and those of a block
+        told = lines.astype(np.uint64) << np.uint64(44) | hashes >> np.uint64(61) << np.uint64(41)
+        told |= (hashes & np.uint64(0xFFFFFFFF)) << np.uint64(9) | np.minimum(held, 511).astype(np.uint64)
+        told.sort()
+        told = told[np.concatenate(([True], told[1:] != told[:-1]))]
+        group = (told >> np.uint64(41)).astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        count, group = np.diff(starts, append=len(told)), group[starts]
+        ones = _ones((told >> np.uint64(9)).astype(np.uint32), starts, int(count.max()))
+        out[group] = _majority(ones, count)
+        sums[group] = np.add.reduceat((told & np.uint64(511)).astype(np.int64), starts)
+        line = group // BLOCKS
+        starts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        wide = np.uint16 if ones.dtype == np.uint8 else np.int64
+        whole[line[starts]] = _majority(np.add.reduceat(ones, starts, axis=0, dtype=wide), np.add.reduceat(count, starts))
+    return out.reshape(n, BLOCKS), sums.reshape(n, BLOCKS), whole
+
+
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of ``sizes`` bytes that stand one after another in ``data``."""
+    ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values without nulls, one after another, and their sizes."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8), np.diff(ends)
 
 
 def _lines_of(texts: list[str | None], powers: Powers) -> tuple[np.ndarray, ...]:
@@ -151,9 +189,9 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 text_no, number, digests, chars, by_words, by_runs, _ = _lines_of(part.column(1).to_pylist(), powers)
                 if not len(number):
                     continue
-                sets = [np.concatenate((blocks.astype("<u4").view(np.uint8), np.minimum(held, 255).astype(np.uint8), whole.astype("<u4")[:, None].view(np.uint8)), axis=1) for blocks, held, whole in (by_words, by_runs)]
-                has = [(held.sum(axis=1) > 0) for _, held, _ in (by_words, by_runs)]
-                sig = pa.array([(b"w" + w.tobytes() if a else b"") + (b"r" + r.tobytes() if b else b"") for w, r, a, b in zip(*sets, *has)], pa.binary())
+                sets = [np.concatenate((np.full((len(number), 1), letter, np.uint8), blocks.astype("<u4").view(np.uint8), np.minimum(held, 255).astype(np.uint8), whole.astype("<u4")[:, None].view(np.uint8)), axis=1) for letter, (blocks, held, whole) in zip(b"wr", (by_words, by_runs))]
+                has = np.stack([held.any(axis=1) for _, held, _ in (by_words, by_runs)], axis=1)
+                sig = _binaries(np.stack(sets, axis=1)[has], has.sum(axis=1) * sets[0].shape[1])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(text_no)), pa.array(number), *(pa.array(np.ascontiguousarray(digests[:, k])) for k in (0, 1)), pa.array(chars), sig],
                     ["id", "line_no", "h1", "h2", "chars", "sig"])
@@ -184,10 +222,8 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 4096):
             part = batch.slice(at, 4096)
             node, chars = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
-            sigs = part.column(2).to_pylist()
-            count = np.array([len(s) // width for s in sigs])
-            own = np.repeat(np.arange(len(sigs)), count)
-            raw = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, width)
+            raw, sizes = _bytes_of(part.column(2))
+            own, raw = np.repeat(np.arange(len(sizes)), sizes // width), raw.reshape(-1, width)
             for salt, letter in enumerate(b"wr"):
                 of = raw[:, 0] == letter
                 row, key = block_keys(np.ascontiguousarray(raw[of, 1 : 4 * BLOCKS + 1]).view("<u4"), raw[of, 4 * BLOCKS + 1 : 5 * BLOCKS + 1], salt)
@@ -317,40 +353,54 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Da
     return held.select("text", "own").mapInArrow(emit, "node long, text string").dropDuplicates(["node"])
 
 
+PAIR_BINS = 256
+#: Up to so many nodes, of one long or two each, are broadcast.
+FEW_NODES = 1_000_000
+
+
+def pair_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of texts, and how often each pair of neighbouring characters is in each, by a hash of the pair."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    place = np.repeat(np.arange(len(texts)) * PAIR_BINS, sizes)
+    pairs = (chars[:-1] * np.uint32(0x9E3779B1) ^ chars[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24)
+    found = np.bincount((place[:-1] + pairs)[place[:-1] == place[1:]], minlength=len(texts) * PAIR_BINS)
+    return sizes, found.reshape(-1, PAIR_BINS).astype(np.int32 if sizes.max(initial=0) >> 15 else np.int16)
+
+
+def enough_in_common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """Where texts with these sizes and counts may be similar: an edit takes away two of a text's pairs of characters at most."""
+    longer = np.maximum(a[0], b[0])
+    return np.minimum(a[1], b[1]).sum(axis=1, dtype=int) >= longer - 1 - 2 * ((1 - least) * longer + 1e-9).astype(int)
+
+
+def similar_pairs(left: list[str], right: list[str], least: float, at_once: int = 512) -> list[bool]:
+    """:func:`similar` for each two texts; those that have too few pairs of characters in common aren't compared further."""
+    found = []
+    for at in range(0, len(left), at_once):
+        a, b = left[at : at + at_once], right[at : at + at_once]
+        maybe = enough_in_common(pair_counts(a), pair_counts(b), least)
+        found += [ok and similar(x, y, least) for ok, x, y in zip(maybe.tolist(), a, b)]
+    return found
+
+
 def similar_column(a: Column, b: Column, least: float) -> Column:
     @F.arrow_udf("boolean")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pa.array([similar(x.as_py(), y.as_py(), least) for x, y in zip(left, right)], pa.bool_())
+            yield pa.array(similar_pairs(left.to_pylist(), right.to_pylist(), least), pa.bool_())
 
     return of(a, b)
 
 
-PAIR_BINS = 256
-#: Up to so many nodes, of one long or two each, are broadcast.
-FEW_NODES = 1_000_000
-
-
-def pair_counts(text: str) -> np.ndarray:
-    """How often each pair of neighbouring characters is in ``text``, by a hash of the pair."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.bincount((chars[:-1] * np.uint32(0x9E3779B1) ^ chars[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(24), minlength=PAIR_BINS)
-
-
 def similar_rows(least: float):
-    """:func:`similar` for a list of texts, as a test of one's place and others' places. An edit takes away two of a text's
-    pairs of characters at most, so a text that has too few in common with another isn't compared further."""
+    """:func:`similar` for a list of texts, as a test of one's place and others' places."""
 
     def of(texts: list[str]):
-        sizes = np.array([len(t) for t in texts])
-        pairs = np.zeros((len(texts), PAIR_BINS), np.int32 if sizes.max(initial=0) >> 15 else np.int16)
-        for k, t in enumerate(texts):
-            pairs[k] = pair_counts(t)
+        sizes, pairs = pair_counts(texts)
 
         def test(v: int, js: np.ndarray) -> np.ndarray:
-            longer = np.maximum(sizes[v], sizes[js])
-            most = ((1 - least) * longer + 1e-9).astype(int)
-            maybe = np.minimum(pairs[v], pairs[js]).sum(axis=1, dtype=int) >= longer - 1 - 2 * most
+            maybe = enough_in_common((sizes[v], pairs[v]), (sizes[js], pairs[js]), least)
             return np.array([ok and similar(texts[v], texts[j], least) for ok, j in zip(maybe.tolist(), js.tolist())], bool)
 
         return test
@@ -358,28 +408,19 @@ def similar_rows(least: float):
     return of
 
 
-def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
-    """One row for every line that isn't blank: ``id, line_no, kept``; one occurrence of each connected group is kept.
-
-    Lines are equal when their normalised forms are; such copies count as one line from the first shuffle on, combined
-    before it. Different lines link when they share a key of their SimHash blocks and their edit similarity is ``least`` or
-    more. That a similar pair shares a key is sure for up to three changed words of a line whose blocks hold enough, else
-    likely, and so is that their SimHashes differ in ``RADIUS`` bits at most; recall against all pairs is measured in the tests and stated in the README.
-
-    Null text has no lines. Null ids come before all others in choosing what is kept. Repeated rows repeat their lines, of
-    which one occurrence is kept, though both rows' line bears its number; see :func:`dedup_lines`.
-    """
+def _repeated(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines ``id, line_no, h1, h2``; ``h1, h2, first, n`` of different lines, their first occurrence and the number of all;
+    ``h1, h2, first`` of those that go with all their occurrences, as a line of their group that stays comes before."""
     signed = cut(line_table(docs, id_col, text_col), "signed-lines")
     # numbers are made while the table is written, so they are fixed from then on
-    distinct = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("chars").alias("chars"), F.min("sig").alias("sig"))
+    distinct = signed.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"), F.min("chars").alias("chars"), F.min("sig").alias("sig"), F.count("*").alias("n"))
     distinct = cut(distinct.withColumn("node", F.monotonically_increasing_id()), "distinct-lines")
     lines = signed.select("id", "line_no", "h1", "h2")
     release(docs.sparkSession)
     signed, schema = distinct.select("node", "chars", "sig"), "key long, node long, f1 long, f2 long"
 
-    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # to be counted; most are of one line
-        for batch in _emit_keys(batches):
-            yield batch.select(["key"])
+    def only_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:  # to be counted; most are of one line
+        return (batch.column(0).to_numpy() for batch in _emit_keys(batches))
 
     def sifted(sieve: np.ndarray) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(sieve)
@@ -400,21 +441,42 @@ def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spots = distinct.join(if_few(wanted, FEW_NODES), "node").select("node", "first.id", "first.line_no", "h1", "h2")
         return cut(_texts(docs, id_col, text_col, spots), "texts")
 
-    roots = cut(connected(signed.mapInArrow(only_keys, "key long"), Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows(least)), sifted=sifted), "roots")
+    roots = cut(connected(signed, Test(near, near_rows), texts_of, Test(lambda a, b: similar_column(a, b, least), similar_rows(least)), sifted=sifted, sizes=shared_keys(signed, only_keys)), "roots")
     # a line that has no link is a group of its own
     linked = distinct.select("node", "h1", "h2", "first").join(if_few(roots, FEW_NODES), "node")
     first = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    other = cut(linked.join(first, "root").where("first <> stays").select("h1", "h2", F.lit(True).alias("other")), "other")
-    placed = lines.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]).join(other, ["h1", "h2"], "left")
+    other = cut(linked.join(first, "root").where("first <> stays").select("h1", "h2", "first"), "other")
+    return lines, distinct.select("h1", "h2", "first", "n"), other
+
+
+def line_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """One row for every line that isn't blank: ``id, line_no, kept``; one occurrence of each connected group is kept.
+
+    Lines are equal when their normalised forms are; such copies count as one line from the first shuffle on, combined
+    before it. Different lines link when they share a key of their SimHash blocks and their edit similarity is ``least`` or
+    more. That a similar pair shares a key is sure for up to three changed words of a line whose blocks hold enough, else
+    likely, and so is that their SimHashes differ in ``RADIUS`` bits at most; recall against all pairs is measured in the tests and stated in the README.
+
+    Null text has no lines. Null ids come before all others in choosing what is kept. Repeated rows repeat their lines, of
+    which one occurrence is kept, though both rows' line bears its number; see :func:`dedup_lines`.
+    """
+    lines, distinct, other = _repeated(docs, id_col, text_col, least)
+    placed = lines.join(distinct.drop("n"), ["h1", "h2"]).join(other.select("h1", "h2", F.lit(True).alias("other")), ["h1", "h2"], "left")
     return placed.select("id", "line_no", (F.struct("id", "line_no").eqNullSafe(F.col("first")) & F.col("other").isNull()).alias("kept"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``id, n_lines, dropped``: lines that aren't blank, and the sorted numbers of those that go, for each id."""
-    found = line_groups(docs, id_col, text_col, **how)
-    totals = found.groupBy("id").agg(F.count("*").alias("n_lines"), F.sort_array(F.collect_set(F.when(~F.col("kept"), F.col("line_no")))).alias("dropped"))
-    ids = docs.select(named(id_col).alias("id")).distinct()
-    return ids.join(totals, ids["id"].eqNullSafe(totals["id"]), "left").select(ids["id"], F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<long>")).alias("dropped"))
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """``id, n_lines, dropped``: lines that aren't blank, and the sorted numbers of those that go, for each id.
+
+    Only lines that may go, those with copies and those of a group that another line stands for, are looked up.
+    """
+    lines, distinct, other = _repeated(docs, id_col, text_col, least)
+    going = distinct.where("n > 1").select("h1", "h2", "first", F.lit(False).alias("all")).union(other.select("h1", "h2", "first", F.lit(True)))
+    gone = lines.join(going.hint("shuffle_hash"), ["h1", "h2"]).where(F.col("all") | ~F.struct("id", "line_no").eqNullSafe(F.col("first")))
+    gone = gone.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("line_no")).alias("dropped"))
+    counted = docs.select(named(id_col).alias("id"), F.lit(0).alias("n")).union(lines.select("id", F.lit(1)))
+    totals = counted.groupBy("id").agg(F.sum("n").alias("n_lines"))
+    return totals.join(gone, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "n_lines", F.coalesce("dropped", F.array().cast("array<long>")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -468,3 +469,54 @@ def test_lines_similar_rows_as_pairs(texts):
     for v in range(len(texts)):
         js = np.array([j for j in range(len(texts)) if j != v])
         assert test(v, js).tolist() == [fuzzy_lines.similar(texts[v], texts[j], 0.8) for j in js]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.text("abc ", max_size=30), st.text("abc ", max_size=30)), max_size=12))
+def test_similar_pairs_as_one_by_one(both):
+    left, right = [a for a, _ in both], [b for _, b in both]
+    assert fuzzy_lines.similar_pairs(left, right, 0.8, at_once=5) == [fuzzy_lines.similar(a, b, 0.8) for a, b in both]
+
+
+def test_strangers_need_no_distance(monkeypatch):
+    """Lines of one length and hardly a pair of characters in common are told apart before their words are."""
+    monkeypatch.setattr(fuzzy_lines, "similar", None)
+    a, b = " ".join(["kala", "muto", "seri"] * 20), " ".join(["bodu", "gifo", "newy"] * 20)
+    assert fuzzy_lines.similar_pairs([a, b], [b, a], 0.8) == [False, False]
+
+
+def test_keys_counted_in_runs(spark, monkeypatch):
+    """Keys of all ranges, the ends of the numbers among them, in runs far smaller than the rows."""
+    r = random.Random(4)
+    keys = [r.choice([-(1 << 63), (1 << 63) - 1, -1, 0, r.randrange(-(1 << 63), 1 << 63)]) for _ in range(3000)] + [17 << 52] * 40
+    rows = spark.createDataFrame([(k,) for k in keys + keys[:500:2]], "key long").repartition(3)
+    want = {(x.key, x.n) for x in rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").collect()}
+    got = buckets.shared_keys(rows, lambda batches: (b.column(0).to_numpy() for b in batches)).collect()
+    assert {(x.key, x.n) for x in got} == want and len(got) == len(want)
+    monkeypatch.setattr(buckets, "SORTED", 7)
+    dealt = list(buckets._dealt(np.array(keys[i : i + 50]) for i in range(0, len(keys), 50)))
+    assert len(dealt) > 50
+    by_range = sorted(((at, x) for b in dealt for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=lambda x: x[0])
+    batch = pa.RecordBatch.from_arrays([pa.array([x[k] for x in by_range]) for k in (0, 1)], ["range", "keys"])
+    found = [x for b in buckets._sizes(iter([batch.slice(0, 9), batch.slice(9)])) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    counts = {k: keys.count(k) for k in set(keys)}
+    assert sorted(found) == sorted((k, n) for k, n in counts.items() if n > 1)
+
+
+@pytest.mark.parametrize("sorted_at_once", [1 << 20, 3])
+@pytest.mark.parametrize("features", [40, 3000, 200_000])
+def test_simhash_blocks(monkeypatch, features, sorted_at_once):
+    """Against the definition, with blocks of a few features, of hundreds and of tens of thousands."""
+    monkeypatch.setattr(fuzzy_lines, "_SORTED", sorted_at_once)
+    rng = np.random.default_rng(features)
+    lines, hashes = np.sort(rng.integers(0, 7, features)), rng.integers(0, 1 << 64, features, dtype=np.uint64)
+    hashes[rng.integers(0, features, features // 3)] = hashes[0]  # one word in all lines, again and again
+    sizes = (hashes % np.uint64(9)).astype(np.int64) + 1
+    blocks, held, whole = fuzzy_lines.simhash_blocks(lines, hashes, sizes, 8)
+    bits = lambda own: sum(1 << q for q in range(32) if 2 * (own >> np.uint64(q) & np.uint64(1)).sum() > len(own))
+    for line in range(8):
+        own = np.unique(hashes[lines == line])
+        assert whole[line] == bits(own)
+        for block in range(8):
+            part = own[own >> np.uint64(61) == block]
+            assert blocks[line, block] == bits(part) and held[line, block] == ((part % np.uint64(9)).astype(int) + 1).sum()
